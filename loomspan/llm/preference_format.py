@@ -65,7 +65,7 @@ def preference_format(chosen: DataFrame, rejected: DataFrame, pair_id: str = "co
         return df.select(F.col(pair_id).alias("_id"), F.struct(F.lit(n).alias("side"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).alias("_t"))
 
     both = side(chosen, 0).unionByName(side(rejected, 1)).groupBy("_id").agg(F.array_sort(F.collect_list("_t")).alias("_all"))
-    c, r = (F.filter("_all", lambda t, n=n: t["side"] == n) for n in (0, 1))
+    c, r = F.filter("_all", lambda t: t["side"] == 0), F.filter("_all", lambda t: t["side"] == 1)
     pairs = both.select("_id", c.alias("_c"), r.alias("_r"))
     agree = F.zip_with("_c", "_r", lambda a, b: F.coalesce(a["role"].eqNullSafe(b["role"]) & a["text"].eqNullSafe(b["text"]), F.lit(False)))
     first_off = F.array_position(F.array_append(agree, F.lit(False)), False)

@@ -53,7 +53,11 @@ def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
     """Candidate keys of a url, from the longest to the shortest: all parents of the host with all usable prefixes."""
     labels = F.split(host, r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    made = [F.transform(hosts, lambda h, n=n: F.when(F.char_length(path) >= n, F.concat(h, F.substring(path, 1, n)))) for n in sorted(set(lengths), reverse=True)]
+
+    def of_length(n: int) -> Column:
+        return F.transform(hosts, lambda h: F.when(F.char_length(path) >= n, F.concat(h, F.substring(path, 1, n))))
+
+    made = [of_length(n) for n in sorted(set(lengths), reverse=True)]
     return F.array_sort(F.array_compact(F.concat(*made)), lambda a, b: F.char_length(b) - F.char_length(a))
 
 
@@ -90,7 +94,7 @@ class BloomCascade:
 
     @staticmethod
     def _bits(keys: DataFrame, level: int, bits: int) -> list[int]:
-        words = keys.select(F.explode(F.array(*probes(F.col("key"), level, bits))).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))).alias("bits"))
+        words = keys.select(F.explode(F.array(*probes(F.col("key"), level, bits))).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))).alias("bits"))
         found = {r["word"]: r["bits"] for r in words.collect()}
         return [found.get(i, 0) for i in range(bits // 64)]
 

@@ -75,20 +75,19 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: st
     """
     end = np.array([END_ID], "<u4").tobytes()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokens = WordTokens(tokenizer)
-        for frame in frames:
+        for column in series:
             out = []
-            for i, tag, t in zip(frame["doc_id"], frame["row_tag"], frame["text"], strict=True):
+            for t in column:
                 ids = (tokens(t) if isinstance(t, str) else b"") + end
-                for n, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    out.append((i, tag, n, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(out, columns=["doc_id", "row_tag", "piece", "start", "length", "ids_crc32"])
+                parts = [ids[at : at + 4 * capacity] for at in range(0, len(ids), 4 * capacity)]
+                out.append([{"piece": n, "start": n * capacity, "length": len(p) // 4, "ids_crc32": zlib.crc32(p)} for n, p in enumerate(parts)])
+            yield pd.Series(out)
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row_tag"), F.col(text).alias("text"))
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInPandas(run, f"doc_id {kind}, row_tag long, piece int, start long, length long, ids_crc32 long")
+    cut_up = F.pandas_udf(run, "array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row_tag"), F.explode(cut_up(F.col(text))).alias("_p"))
+    return rows.select("doc_id", "row_tag", "_p.*")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -190,19 +189,17 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         by_length[length].append((rank, first, offset))
     sent = spark.sparkContext.broadcast({k: np.array(sorted(v), np.int64) for k, v in by_length.items()})
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            at, offset = np.zeros(len(frame), np.int64), np.zeros(len(frame), np.int64)
-            lengths, ranks = frame["length"].to_numpy(), frame["_rank"].to_numpy()
-            for n in np.unique(lengths):
-                mine, table = np.flatnonzero(lengths == n), sent.value[int(n)]
-                row = table[np.searchsorted(table[:, 0], ranks[mine], "right") - 1]
-                at[mine], offset[mine] = row[:, 1] + ranks[mine] - row[:, 0], row[:, 2]
-            yield frame.drop(columns="_rank").assign(sequence_id=at, offset=offset)
-
-    columns = [*parts.columns]
-    schema = ", ".join(f"`{c}` {t}" for c, t in parts.dtypes) + ", sequence_id long, offset long"
-    return ranked.select(*columns, "_rank").mapInPandas(place, schema)
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
+        lengths, ranks = lengths.to_numpy(), ranks.to_numpy()
+        at, offset = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), np.int64)
+        for n in np.unique(lengths):
+            mine, rows = np.flatnonzero(lengths == n), sent.value[int(n)]
+            row = rows[np.searchsorted(rows[:, 0], ranks[mine], "right") - 1]
+            at[mine], offset[mine] = row[:, 1] + ranks[mine] - row[:, 0], row[:, 2]
+        return pd.DataFrame({"sequence_id": at, "offset": offset})
+
+    return ranked.withColumn("_at", place("length", "_rank")).select(*parts.columns, "_at.sequence_id", "_at.offset")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

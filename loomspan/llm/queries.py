@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, packing, preference_format, url_filter
+from . import exact_dedup, language_id, ngram_join, packing, preference_format, url_filter, word_repeats
 from .frames import table
 
 TOKENIZER_FILE = "word_bpe_49k.json"
@@ -38,6 +38,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_rejected")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("row_tag")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("row_tag")
 
@@ -54,6 +58,10 @@ from t join g on t.norm = g.norm
 """
 
 
+def op7_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_repeats.word_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.url_filter(pages, RULES).select("page_id", "host", "path", "rule", "verdict")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, ngram_join, packing, preference_format, url_filter, word_repeats
+from . import byte_repeats, exact_dedup, language_id, ngram_join, packing, preference_format, url_filter, word_repeats
 from .frames import table
 
 TOKENIZER_FILE = "word_bpe_49k.json"
@@ -38,6 +38,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_rejected")
 
 
+def op2_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_repeats.byte_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("row_tag")
 

@@ -35,12 +35,16 @@ _PLACE = U((1 << 24) - 1)
 PART = 1 << 20
 
 
-def find_runs(values: np.ndarray, offsets: np.ndarray, width: int, seed: int) -> dict[str, np.ndarray]:
-    """Runs of windows of texts lying one after another: text i has values[offsets[i]:offsets[i + 1]]."""
+def find_runs(values: np.ndarray, offsets: np.ndarray, width: int, seed: int, numbers: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Runs of windows of texts lying one after another: text i has values[offsets[i]:offsets[i + 1]].
+
+    numbers: stands in for each value, if values are bytes.
+    """
     found: list[dict[str, np.ndarray]] = []
     for at in range(0, max(len(values), 1), PART):
         part = values[at : at + PART + width - 1]
         if len(part) >= width:
+            part = part if numbers is None else numbers[part]
             found.append(_part_runs(part, np.clip(offsets - at, 0, len(part)), at, width, seed))
     out = {k: np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in ("seed", "block", "start", "n", "place")}
     out["text"] = np.searchsorted(offsets, out["start"], "right") - 1
@@ -93,8 +97,8 @@ def blocks(runs: DataFrame) -> DataFrame:
 
 
 def with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """text, of: the blocks of each text that has any (array of seed, block, start, n, place)."""
-    per_text = rows.groupBy("row_tag").agg(F.collect_list(F.struct("seed", "block", "start", "n", "place")).alias("of"))
+    """text, of: the blocks of each text that has any (array of seed, block, start, n, place, rivals)."""
+    per_text = rows.groupBy("row_tag").agg(F.collect_list(F.struct("seed", "block", "start", "n", "place", "rivals")).alias("of"))
     return docs.join(per_text, "row_tag").select("text", "of")
 
 

@@ -129,7 +129,7 @@ def url_filter(pages: DataFrame, rules: list[Rule], default: str = "allow", url:
     universe = parts.select(F.explode(keys).alias("key"))
     found = {}
     for verdict in sorted({r.verdict for r in rules}):
-        listed = spark.createDataFrame([(r.key,) for r in rules if r.verdict == verdict], "key string")
+        listed = spark.range(1).select(F.explode(F.array(*(F.lit(r.key) for r in rules if r.verdict == verdict))).alias("key"))
         found[verdict] = BloomCascade(listed, universe)
 
     def judged(k):

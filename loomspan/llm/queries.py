@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_repeats, exact_dedup, language_id, ngram_join, packing, preference_format, url_filter, word_repeats
+from . import byte_repeats, decontaminate, exact_dedup, language_id, ngram_join, packing, preference_format, url_filter, word_repeats
 from .frames import table
 
 TOKENIZER_FILE = "word_bpe_49k.json"
@@ -66,6 +66,10 @@ def op7_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_repeats.word_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.url_filter(pages, RULES).select("page_id", "host", "path", "rule", "verdict")

@@ -8,9 +8,9 @@ ASCII.
   of its input at each step and then moves on or stays, by a random bit for
   that step and word.  After an edit two walks soon fall in step again, so
   few edits become few differing places.
-* A table of the LSH samples places of that output.  The tables' number is
-  set at fitting: items are edited at random as far as is allowed, and tables
-  are added until the share of edited copies that share a bucket with their
+* A table of the LSH samples places of that output.  Tables share
+  walks; the walks' number is set at fitting: items are edited at random as far
+  as is allowed, and walks are added until the share of edited copies that share a bucket with their
   item reaches TARGET_RECALL, and then as many again.
 * Items that share a bucket with an item-sized window of a document are
   verified by their exact edit distance around that window.
@@ -25,6 +25,7 @@ Items are sent to every task in blocks of at most BLOCK_BYTES of text.
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 from dataclasses import dataclass, field
 
@@ -40,7 +41,9 @@ EDITS_PER = 5
 #: Items with fewer words say too little to be told from chance and are left out.
 LEAST_WORDS = 8
 TARGET_RECALL = 0.99
-MOST_TABLES = 60
+#: Tables that sample one walk, and walks at most.
+PER_WALK = 6
+MOST_WALKS = 16
 PLACES = 2
 TRIALS = 200
 BLOCK_BYTES = 8 << 20
@@ -70,16 +73,21 @@ def walk(words: np.ndarray, seed: int, places: np.ndarray) -> np.ndarray:
     return out
 
 
-def table_places(m: int, table: int) -> np.ndarray:
-    return np.sort(np.random.default_rng([m, table]).choice(2 * m, PLACES, replace=False))
+@functools.cache
+def sampled(m: int, group: int) -> np.ndarray:
+    """Places of each table of a walk."""
+    draw = np.random.default_rng([m, group])
+    return np.array([np.sort(draw.choice(2 * m, PLACES, replace=False)) for _ in range(PER_WALK)])
 
 
-def buckets(words: np.ndarray, table: int) -> np.ndarray:
-    """The bucket of each row of words in one table."""
-    out = walk(words, table, table_places(words.shape[1], table))
-    total = np.full(len(words), table, np.uint64)
-    for k in range(out.shape[1]):
-        total = mix(total * U(0x9E3779B97F4A7C15) + out[:, k])
+def buckets(words: np.ndarray, group: int) -> np.ndarray:
+    """The buckets of each row of words in the tables that share a walk."""
+    tables = sampled(words.shape[1], group)
+    places = np.unique(tables)
+    out = walk(words, group, places)
+    total = np.broadcast_to(np.arange(PER_WALK, dtype=np.uint64) + U(PER_WALK * group), (len(words), PER_WALK))
+    for k in range(PLACES):
+        total = mix(total * U(0x9E3779B97F4A7C15) + out[:, np.searchsorted(places, tables[:, k])])
     return total
 
 
@@ -102,7 +110,7 @@ class Items:
 
     ids: list = field(default_factory=list)
     words: list[np.ndarray] = field(default_factory=list)
-    tables: dict[int, int] = field(default_factory=dict)
+    walks: dict[int, int] = field(default_factory=dict)
     by_bucket: dict[int, dict[int, list[int]]] = field(default_factory=dict)  # by size: item by bucket
     pieces: dict[int, list[tuple[int, int]]] = field(default_factory=dict)  # by hash: (size, place in item)
     known: np.ndarray = field(default_factory=lambda: np.zeros(1 << _FILTER_BITS, bool))
@@ -122,11 +130,12 @@ def fit(ids: list, texts: list[str | None]) -> Items:
     pieces = defaultdict(set)
     for m, mine in sizes.items():
         rows = np.stack([out.words[i] for i in mine])
-        out.tables[m] = _tables(rows, m)
+        out.walks[m] = _walks(rows, m)
         found = defaultdict(list)
-        for t in range(out.tables[m]):
-            for i, b in zip(mine, buckets(rows, t).tolist(), strict=True):
-                found[b].append(i)
+        for t in range(out.walks[m]):
+            for i, each in zip(mine, buckets(rows, t).tolist(), strict=True):
+                for b in each:
+                    found[b].append(i)
         out.by_bucket[m] = dict(found)
         for i in mine:
             cuts = [m * k // (allowed(m) + 1) for k in range(allowed(m) + 1)]
@@ -139,8 +148,8 @@ def fit(ids: list, texts: list[str | None]) -> Items:
     return out
 
 
-def _tables(rows: np.ndarray, m: int) -> int:
-    """Tables that bring edited copies of these items to the target recall."""
+def _walks(rows: np.ndarray, m: int) -> int:
+    """Walks that bring edited copies of these items to the target recall."""
     draw = np.random.default_rng(m)
     of = draw.integers(0, len(rows), TRIALS)
     edited = []
@@ -152,11 +161,11 @@ def _tables(rows: np.ndarray, m: int) -> int:
         edited.append((words + [_PAD] * m)[:m])
     edited = np.array(edited, np.uint64)
     met = np.zeros(TRIALS, bool)
-    for t in range(MOST_TABLES):
-        met |= buckets(edited, t) == buckets(rows[of], t)
+    for t in range(MOST_WALKS):
+        met |= (buckets(edited, t) == buckets(rows[of], t)).any(1)
         if met.mean() >= TARGET_RECALL:
-            return min(MOST_TABLES, 2 * (t + 1))
-    return MOST_TABLES
+            return min(MOST_WALKS, 2 * (t + 1))
+    return MOST_WALKS
 
 
 def look(texts: list[bytes], items: Items) -> list[dict[int, tuple[int, int]]]:
@@ -187,9 +196,12 @@ def _embedded(places: np.ndarray, m: int, words: np.ndarray, padded: np.ndarray,
     spot = np.where((spot >= lo[:, None]) & (spot < hi[:, None]), spot, len(words))
     rows, e = padded[spot], allowed(m)
     met = defaultdict(set)
-    for t in range(items.tables[m]):
-        for k, b in enumerate(buckets(rows, t).tolist()):
-            for item in items.by_bucket[m].get(b, ()):
+    known = np.sort(np.array(list(items.by_bucket[m]), np.uint64))
+    for t in range(items.walks[m]):
+        every = buckets(rows, t)
+        there = known[np.minimum(np.searchsorted(known, every), len(known) - 1)] == every
+        for k, c in zip(*np.nonzero(there), strict=True):
+            for item in items.by_bucket[m][int(every[k, c])]:
                 met[int(who[k]), item].add(int(s[k]))
     for (i, item), near in met.items():
         near = sorted(near)

@@ -211,7 +211,7 @@ def crossing_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, row_tag, n_shingles, component_id.
+    """One row per row of docs: doc_id, row_tag, n_shingles, component_id, class_id (equal in a component, null for empty sets).
 
     A set is the distinct 5-word shingles of the whole text in lower-case
     ASCII; with fewer words, the whole sequence; a null or empty text or one
@@ -233,5 +233,5 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     roots = connected(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(second.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     classes = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(ids, "root").select("set_id", "component_id")
-    return sets.join(named, "set_id", "left").select("doc_id", "row_tag", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = classes.join(ids, "root").select("set_id", F.col("root").alias("class_id"), "component_id")
+    return sets.join(named, "set_id", "left").select("doc_id", "row_tag", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class_id")

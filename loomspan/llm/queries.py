@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_repeats, decontaminate, exact_dedup, language_id, ngram_join, packing, preference_format, url_filter, word_repeats
-from .frames import table
+from . import byte_repeats, decontaminate, exact_dedup, language_id, ngram_join, packing, preference_format, shard_store, url_filter, word_repeats
+from .frames import fresh_path, table
 
 TOKENIZER_FILE = "word_bpe_49k.json"
 RULES = [
@@ -43,7 +43,16 @@ def op2_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("row_tag")
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("row_tag", "class_id")
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes (of its text), shard_id, shard_bytes, version: where each document is after compaction."""
+    store = shard_store.sharded(table(spark, sf_dir, "documents"), fresh_path(spark, "shards"))
+    found = store.manifest()
+    shards = spark.createDataFrame([(s.path, i, s.bytes) for i, s in enumerate(found["shards"])], "_shard string, shard_id int, shard_bytes long")
+    rows = store.read().select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "_shard")
+    return rows.join(F.broadcast(shards), "_shard").select("doc_id", "n_bytes", "shard_id", "shard_bytes", F.lit(found["version"]).alias("version"))  # a shard a row, of 64 MB and more mostly
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

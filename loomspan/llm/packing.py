@@ -19,6 +19,9 @@ hash; no length, however common, meets in one task.
 from __future__ import annotations
 
 import bisect
+import functools
+import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,43 +31,69 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import cut
+from .frames import batches, cut
 
 CAPACITY = 2048
 END_ID = 0
 #: Pieces in a slice, about; a slice is numbered by one task.
 SLICE_ROWS = 100_000
 #: Words a task remembers the ids of.
-MEMORY = 300_000
+MEMORY = 400_000
 
 
 class WordTokens:
     """Token ids of texts, word by word.
 
     The vocabulary's rules drop white space and never join across it, so a
-    text's ids are those of its words in a row; the ids of a word are found
-    once and remembered.
+    text's ids are those of its words in a row.  They also ignore case and
+    part letters and digits from what follows, so a word that ends in ASCII
+    letters or digits and one mark has the ids of either in a row.  The ids
+    of a word are found once and remembered, up to MEMORY words.
     """
 
+    _mark = re.compile(rb"(?<=[a-z0-9])([.,!?;:|])(?!\S)")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         self.coder = Tokenizer.from_file(path)
         self.coder.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
 
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = text.encode("utf-8", "surrogatepass").split()
+    def _coded(self, words: list[bytes]) -> dict[bytes, bytes]:
+        out = self.coder.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, out, strict=True)}
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        split = [self._mark.sub(rb" \1", t.lower()).split() for t in texts]
         known = self.known
-        new = [w for w in set(words) if w not in known]
+        new = list({w for words in split for w in words if w not in known})
         if new:
-            if len(known) + len(new) > MEMORY:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.coder.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+            found = self._coded(new)
+            if len(known) < MEMORY:
+                known.update(found)
+            else:
+                known = _Both(found, known)
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+
+class _Both(dict):
+    """A few words in front of the remembered ones."""
+
+    def __init__(self, front: dict, behind: dict):
+        super().__init__(front)
+        self.behind = behind
+
+    def __missing__(self, key):
+        return self.behind[key]
+
+
+@functools.cache
+def word_tokens(path: str) -> WordTokens:
+    """One for a worker process, whatever tasks it gets."""
+    return WordTokens(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -76,11 +105,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: st
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokens = WordTokens(tokenizer)
+        tokens = word_tokens(tokenizer)
         for column in series:
             out = []
-            for t in column:
-                ids = (tokens(t) if isinstance(t, str) else b"") + end
+            for ids in (ids for _, texts in batches([column.to_frame("text")], most=1 << 20) for ids in tokens(texts)):
+                ids += end
                 parts = [ids[at : at + 4 * capacity] for at in range(0, len(ids), 4 * capacity)]
                 out.append([{"piece": n, "start": n * capacity, "length": len(p) // 4, "ids_crc32": zlib.crc32(p)} for n, p in enumerate(parts)])
             yield pd.Series(out)

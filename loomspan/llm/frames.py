@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -30,10 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps, which Spark deletes once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that lost executors recompute nothing before it."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    tidy(df.sparkSession)
+    return out
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -41,9 +50,35 @@ def keep(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, "table")
     df.write.option("compression", "zstd").parquet(path)
+    tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids up to which a sieve is made, and its bits for each.
+SIEVE_IDS = 1_000_000
+SIEVE_BITS = 16
+
+
+def sieve(ids: DataFrame, column: str) -> Column:
+    """A condition on the long column `column` that all of ids meet and few others do, to thin out rows before a join.
+
+    It is a constant of SIEVE_BITS bits an id, at most 2 MB; for more ids it
+    lets everything pass, and the join alone decides.
+    """
+    n = ids.limit(SIEVE_IDS + 1).count()
+    if n > SIEVE_IDS:
+        return F.lit(True)
+    bits = max(64, n * SIEVE_BITS // 64 * 64)
+    places = lambda c: [F.pmod(F.xxhash64(c, F.lit(k)), F.lit(bits).cast("long")) for k in (1, 2)]
+    words = ids.select(F.explode(F.array(*places(F.col(column)))).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))).alias("b"))
+    found = {r["w"]: r["b"] for r in words.collect()}
+    data = F.from_json(F.lit("[" + ",".join(str(found.get(i, 0)) for i in range(bits // 64)) + "]"), "array<bigint>")
+    out = F.lit(True)
+    for p in places(F.col(column)):
+        out &= F.getbit(F.get(data, F.shiftright(p, 6).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1
+    return out
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 

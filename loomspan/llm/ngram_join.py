@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .frames import batches, cut, keep, signed
+from .frames import batches, cut, keep, sieve, signed
 from .texthash import U, mix, sequence_hashes, word_hashes
 
 WIDTH = 5
@@ -167,8 +167,8 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """
     pairs = cut(pairs)
     wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).distinct()
-    ones = sets.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("row_tag").alias("row_tag"))
-    texts = docs.join(ones, "row_tag").select("set_id", "text")
+    ones = cut(sets.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("row_tag").alias("row_tag")))
+    texts = keep(docs.where(sieve(ones, "row_tag")).join(ones, "row_tag").select("set_id", "text"))
     left = pairs.join(texts.withColumnsRenamed({"set_id": "b", "text": "text_b"}), "b")
     both = left.join(texts.withColumnsRenamed({"set_id": "a", "text": "text_a"}), "a")
 
@@ -225,8 +225,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     sets = cut(_sets(rows))
     sketch = _sketch(rows)
     salted = _index(rows, sketch).withColumn("salt", F.when(F.col("salts") > 1, F.pmod("set_id", "salts")).otherwise(0))
-    count = F.expr("count(*) over (partition by token, salt)")
-    lists = keep(salted.withColumn("_n", count).where("_n > 1 or salts > 1").select("token", "set_id", "n", "pos", "need").distinct())
+    ends = {"_lo": F.expr("min(set_id) over (partition by token, salt)"), "_hi": F.expr("max(set_id) over (partition by token, salt)")}
+    several = salted.withColumns(ends).where("_lo <> _hi or salts > 1")
+    lists = keep(several.select("token", "salt", "set_id", "n", "pos", "need").distinct().drop("salt"))
     first = verified(leader_pairs(lists), rows, sets)
     labels = connected(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
     second = verified(crossing_pairs(lists, labels), rows, sets)

@@ -18,7 +18,7 @@ ORACLE_SQL = None
 
 def _kept(docs: DataFrame, tags: DataFrame) -> DataFrame:
     """The rows of docs (a table that is read) whose row_tag is in tags."""
-    tag = "_row_tag"
+    tag = "_loomspan_tag"
     return docs.withColumn(tag, F.monotonically_increasing_id()).join(tags.select(F.col("row_tag").alias(tag)), tag, "left_semi").drop(tag)
 
 

@@ -49,6 +49,7 @@ TRIALS = 200
 BLOCK_BYTES = 8 << 20
 PIECE_WORDS = 3
 _FILTER_BITS = 20
+FOUND = "_loomspan_found"
 _PAD = U(0x6A09E667F3BCC909)
 
 
@@ -214,7 +215,7 @@ def _embedded(places: np.ndarray, m: int, words: np.ndarray, padded: np.ndarray,
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs with `_found` added: array of (item string, distance int, stop int: the word behind the passage), sorted by item.
+    """docs with the column FOUND added: array of (item string, distance int, stop int: the word behind the passage), sorted by item.
 
     Null texts and items have no words.  Items of fewer than LEAST_WORDS
     words are left out; equal items are each found.  An empty benchmark
@@ -228,9 +229,9 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
         mine = items.where(F.pmod(F.xxhash64("t", "i"), F.lit(blocks)) == block).orderBy("i", "t").collect()
         sent = docs.sparkSession.sparkContext.broadcast(fit([r["i"] for r in mine], [r["t"] for r in mine]))
 
-        parts.append(f"_found{block}")
+        parts.append(f"_loomspan_found{block}")
         out = out.withColumn(parts[-1], _finder(sent)(F.col(text)))
-    return out.withColumn("_found", F.concat(*parts)).drop(*parts)
+    return out.withColumn(FOUND, F.concat(*parts)).drop(*parts)
 
 
 def _finder(sent):
@@ -249,9 +250,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """doc_id, item_id, distance, stop_word: one row for each item that a document holds."""
     kind = dict(benchmark.dtypes)[item_id]
     hits = find(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")), benchmark, "_t", item_id, item_text)
-    return hits.select("doc_id", F.explode("_found").alias("_h")).select("doc_id", F.col("_h.item").cast(kind).alias("item_id"), F.col("_h.distance").alias("distance"), F.col("_h.stop").alias("stop_word"))
+    return hits.select("doc_id", F.explode(FOUND).alias("_h")).select("doc_id", F.col("_h.item").cast(kind).alias("item_id"), F.col("_h.distance").alias("distance"), F.col("_h.stop").alias("stop_word"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without the rows that hold an item; columns stay as they are."""
-    return find(docs, benchmark, text, item_id, item_text).where(F.size("_found") == 0).drop("_found")
+    return find(docs, benchmark, text, item_id, item_text).where(F.size(FOUND) == 0).drop(FOUND)

@@ -30,6 +30,7 @@ SHARD_ROWS = 2000
 FANOUT = 4
 UNIT_BYTES = 64 << 10
 RETRIES = 20
+FILE, MERGE, SHARD = "_loomspan_file", "_loomspan_merge", "_loomspan_shard"
 
 
 class Conflict(Exception):
@@ -170,9 +171,9 @@ class ShardStore:
             folder = f"{self.root}/data/{uuid.uuid4().hex}"
             of = [(s.path, i) for i, g in enumerate(groups) for s in g]
             rows = self._read([p for p, _ in of], base["schema"])
-            names = F.broadcast(self.spark.createDataFrame(of, "_file string, _merge int"))  # two words for each small shard
-            told = rows.withColumn("_file", self._file()).join(names, "_file").drop("_file")
-            told.repartition(len(groups), "_merge").write.partitionBy("_merge").option("compression", "zstd").parquet(folder)
+            names = F.broadcast(self.spark.createDataFrame(of, f"{FILE} string, {MERGE} int"))  # two words for each small shard
+            told = rows.withColumn(FILE, self._file()).join(names, FILE).drop(FILE)
+            told.repartition(len(groups), MERGE).write.partitionBy(MERGE).option("compression", "zstd").parquet(folder)
             gone, added = {p for p, _ in of}, self._written(folder)
 
             def make(now, gone=gone, added=added):
@@ -201,13 +202,13 @@ class ShardStore:
         return self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(*paths)
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with _shard: the path of the shard that holds each."""
+        """The rows of a version, with the column SHARD: the path of the shard that holds each."""
         found = self.manifest(version)
         if not found["schema"]:
             raise ValueError("nothing was ever appended")
         if not found["shards"]:
-            return self.spark.createDataFrame([], StructType.fromJson(json.loads(found["schema"]))).withColumn("_shard", F.lit(None).cast("string"))
-        return self._read([s.path for s in found["shards"]], found["schema"]).withColumn("_shard", self._file())
+            return self.spark.createDataFrame([], StructType.fromJson(json.loads(found["schema"]))).withColumn(SHARD, F.lit(None).cast("string"))
+        return self._read([s.path for s in found["shards"]], found["schema"]).withColumn(SHARD, self._file())
 
 
 def sharded(docs: DataFrame, root: str, target_bytes: int = TARGET_BYTES, shard_rows: int = SHARD_ROWS, fanout: int = FANOUT) -> ShardStore:

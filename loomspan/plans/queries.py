@@ -28,11 +28,13 @@ class Run:
             self.made[name] = getattr(self, f"_{name}")() if f"_{name}" in type(self).__dict__ else fixture(self.spark, self.dir, name)
         return self.made[name]
 
+    # what several tables are made of is computed once
+
     def _kept(self):
-        return consensus.prepared(consensus.driven_by(self.calls, "delly"), self.genome, self.regions)
+        return consensus.prepared(consensus.driven_by(self.calls, "delly"), self.genome, self.regions).persist()
 
     def _pairs(self):
-        return consensus.tool_pairs(self.kept)
+        return consensus.tool_pairs(self.kept).persist()
 
     def _intersection(self):
         return consensus.consensus(self.pairs, "intersection")
@@ -42,7 +44,7 @@ class Run:
 
     def _merged(self):
         common = truth.common_samples(self.truth)
-        return truth.truth_merged(self.truth.join(common, "sample", "left_semi"))
+        return truth.truth_merged(self.truth.join(common, "sample", "left_semi")).persist()
 
     def _log(self):
         return consensus.log(self.calls.where("svtype <> 'NA'"), self.kept, self.pairs)
@@ -50,10 +52,10 @@ class Run:
     def _pred(self):
         gatk = self.kept.where("tool = 'gatk'").select("sample", "svtype", "chrom", "cstart", "cend", F.col("tool").alias("sources"))
         parts = [df.withColumn("input_set", F.lit(n)) for n, df in zip(SETS, (self.intersection, self.union, gatk), strict=True)]
-        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+        return parts[0].unionByName(parts[1]).unionByName(parts[2]).persist()
 
     def _classified(self):
-        return classify.classify(self.pred, self.merged)
+        return classify.classify(self.pred, self.merged).persist()
 
     def _scored(self):
         return classify.scored(classify.counts(self.classified))
@@ -62,7 +64,7 @@ class Run:
         return analysis.in_bounds(self.classified)
 
     def _dist(self):
-        return analysis.distributions(self.in_bounds, POINTS)
+        return analysis.distributions(self.in_bounds, POINTS).persist()
 
     def _sizes(self):
         return analysis.size_samples(self.in_bounds, SETS[0])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import decontaminate, exact_dedup, language_id, ngram_join, packing, queries
-from loomspan.llm.frames import keep, table
+from loomspan.llm.frames import keep, row_tag, table
 
 #: No stage but the second can be said in SQL; each is tested against a brute-force version.
 ORACLE_SQL = None
@@ -19,7 +19,7 @@ ORACLE_SQL = None
 def _kept(docs: DataFrame, tags: DataFrame) -> DataFrame:
     """The rows of docs (a table that is read) whose row_tag is in tags."""
     tag = "_loomspan_tag"
-    return docs.withColumn(tag, F.monotonically_increasing_id()).join(tags.select(F.col("row_tag").alias(tag)), tag, "left_semi").drop(tag)
+    return docs.withColumn(tag, row_tag(docs.sparkSession)).join(tags.select(F.col("row_tag").alias(tag)), tag, "left_semi").drop(tag)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

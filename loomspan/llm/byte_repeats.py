@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .frames import batches, cut, keep, signed
+from .frames import batches, cut, keep, row_tag, signed
 from .suffix import Strings, common_prefixes, repeated, search, suffix_array
 from .texthash import U, mix, prefix_sums, windows
 
@@ -129,7 +129,7 @@ def byte_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     each other.  docs should be a table that is read.  Other columns aren't
     read; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row_tag"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), row_tag(docs.sparkSession).alias("row_tag"), F.col(text).alias("text"))
     texts = rows.select("row_tag", "text")
     runs = repeats.surviving_runs(texts, _make(width, seed), _batches)
     every = repeats.blocks(runs)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut
+from .frames import cut, row_tag
 
 #: Characters whose hash decides the second step.
 PREFIX = 64
@@ -40,7 +40,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     whole = normalised(F.col(text))
     keys = cut(
         docs.select(F.col(doc_id).alias("doc_id"), whole.alias("_t"))
-        .select("doc_id", F.monotonically_increasing_id().alias("row_tag"), F.octet_length("_t").alias("_len"), F.xxhash64(F.substring("_t", 1, PREFIX)).alias("_head"), F.unhex(F.sha2("_t", 256)).alias("_sha"))
+        .select("doc_id", row_tag(docs.sparkSession).alias("row_tag"), F.octet_length("_t").alias("_len"), F.xxhash64(F.substring("_t", 1, PREFIX)).alias("_head"), F.unhex(F.sha2("_t", 256)).alias("_sha"))
     )
     twice = F.col("_n") > 1
     lengths = keys.groupBy("_len").agg(F.count("*").alias("_n")).where(twice).select("_len")

@@ -31,6 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def row_tag(spark: SparkSession) -> Column:
+    """A number for each row of a table that is read, alike each time it is read in this session.
+
+    The number has the row's place in its split, so splits must not change
+    between two readings.  By default they follow the number of cores, which
+    changes as executors come and go; it is fixed here at what it is now.
+    """
+    name = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(max(1, spark.sparkContext.defaultParallelism)))
+    return F.monotonically_increasing_id()
+
+
 def tidy(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished steps, which Spark deletes once the driver has collected its garbage."""
     gc.collect()

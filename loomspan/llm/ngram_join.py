@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .frames import batches, cut, keep, sieve, signed
+from .frames import batches, cut, keep, row_tag, sieve, signed
 from .texthash import U, mix, sequence_hashes, word_hashes
 
 WIDTH = 5
@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Repeated rows are in one component.  row_tag tells rows apart.  Other
     columns aren't read.  An empty table gives an empty result.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row_tag"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), row_tag(docs.sparkSession).alias("row_tag"), F.col(text).alias("text"))
     sets = cut(_sets(rows))
     sketch = _sketch(rows)
     salted = _index(rows, sketch).withColumn("salt", F.when(F.col("salts") > 1, F.pmod("set_id", "salts")).otherwise(0))

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import batches, cut
+from .frames import batches, cut, row_tag
 
 CAPACITY = 2048
 END_ID = 0
@@ -115,7 +115,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: st
             yield pd.Series(out)
 
     cut_up = F.pandas_udf(run, "array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row_tag"), F.explode(cut_up(F.col(text))).alias("_p"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), row_tag(docs.sparkSession).alias("row_tag"), F.explode(cut_up(F.col(text))).alias("_p"))
     return rows.select("doc_id", "row_tag", "_p.*")
 
 

@@ -5,7 +5,8 @@
 Keys: output_dir; input: {set: {tool: path pattern}}, at least cnvpytor, delly
 and gatk; benchmark_map: {name: path}; and as wanted genome_file,
 excluded_regions_file, control: {name: path of array-caller text}, liftover:
-{set: {chain: path}}.  {id} in a pattern stands for the sample.  Any file
+{set: {chain: path}}, venn_sets: three input sets, analysis: names of the
+tables wanted (all by default).  {id} in a pattern stands for the sample.  Any file
 system that Spark reads will do.  Results are BED folders by sample and type,
 Parquet tables for the analysis and JSON logs.
 """
@@ -157,7 +158,8 @@ class Pipeline:
         if sets:
             for kind in analysis.TYPES:
                 out[f"venn_{kind}"] = analysis.venn3(within, sets, kind)
-        return out
+        wanted = self.config.get("analysis")
+        return out if wanted is None else {k: v for k, v in out.items() if k in wanted}
 
 
 def main(argv: Sequence[str] | None = None) -> None:

@@ -114,7 +114,7 @@ def test_whole_run(spark, tmp_path):
     write(tmp_path / "excluded.bed", "chr1\t50000\t53000\n")
     write(tmp_path / "control.txt", "chr1:10000-12000 a b cn=1 /x/S1.txt\n")
     write(tmp_path / "x.chain", "chain 1 chr1 1000000 + 0 1000000 chr1 1000000 + 0 1000000 1\n1000000\n\n")
-    config = {"output_dir": str(tmp_path / "out"), "input": {"my set": {t: f"{tmp_path}/in/{t}/{{id}}.vcf" for t in ("cnvpytor", "delly", "gatk")}}, "benchmark_map": {"a b": str(tmp_path / "truth.vcf")}, "genome_file": str(tmp_path / "genome.txt"), "excluded_regions_file": str(tmp_path / "excluded.bed"), "control": {"Array": str(tmp_path / "control.txt")}, "liftover": {"Array": {"from": "hg19", "to": "hg38", "chain": str(tmp_path / "x.chain")}}}
+    config = {"output_dir": str(tmp_path / "out"), "analysis": ["summary"], "input": {"my set": {t: f"{tmp_path}/in/{t}/{{id}}.vcf" for t in ("cnvpytor", "delly", "gatk")}}, "benchmark_map": {"a b": str(tmp_path / "truth.vcf")}, "genome_file": str(tmp_path / "genome.txt"), "excluded_regions_file": str(tmp_path / "excluded.bed"), "control": {"Array": str(tmp_path / "control.txt")}, "liftover": {"Array": {"from": "hg19", "to": "hg38", "chain": str(tmp_path / "x.chain")}}}
     out = pipeline.Pipeline(spark, config).run()
     whole = out["summary"].where("size_class = 'all'")
     assert rows(whole.where("input_set = 'my_set_intersections'"), "sample", "svtype", "tp", "fp", "fn") == [("S1", "DEL", 1, 0, 1), ("S2", "DEL", 1, 0, 0)]

@@ -187,12 +187,26 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long"))
 
 
+def _enough(shared: Column, n_a: Column, n_b: Column, need_a: Column, need_b: Column) -> Column:
+    """Whether two sets that share so many prefix shingles may be similar.
+
+    Of the prefix that ends first in global order all common shingles are
+    counted; what the set has behind it bounds those that aren't.
+    """
+    behind = lambda n, need: F.ceil(n * F.lit(THRESHOLD) / F.lit(100.0) - F.lit(1e-6)) - need
+    return shared + F.greatest(behind(n_a, need_a), behind(n_b, need_b)) >= _room(n_a, n_b)
+
+
 def leader_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs of a set and the leader of a list it is in, of about its size."""
+    """Pairs of a set and the leader of lists it is in, of about its size, if these lists alone are enough to make the pair likely.
+
+    What this passes over stays under different labels and is met by crossing_pairs().
+    """
     classed = lists.withColumn("size", F.floor(F.log2(F.col("n")) * 6).cast("int"))
-    leaders = classed.groupBy("token", "size").agg(F.min(F.struct("set_id", "n")).alias("first"))
+    leaders = classed.groupBy("token", "size").agg(F.min(F.struct("set_id", "n", "need")).alias("first"))
     met = classed.join(leaders, ["token", "size"]).where(F.col("set_id") != F.col("first.set_id")).where(_sizes_fit(F.col("n"), F.col("first.n")))
-    return met.select(F.col("first.set_id").alias("a"), F.col("set_id").alias("b")).distinct()
+    pairs = met.groupBy(F.col("first.set_id").alias("a"), F.col("set_id").alias("b")).agg(F.count("*").alias("shared"), F.min("n").alias("n_b"), F.min("first.n").alias("n_a"), F.min("need").alias("need_b"), F.min("first.need").alias("need_a"))
+    return pairs.where(_enough(F.col("shared"), F.col("n_a"), F.col("n_b"), F.col("need_a"), F.col("need_b"))).select("a", "b")
 
 
 def crossing_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
@@ -205,9 +219,10 @@ def crossing_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
     i, j = F.col("x.pos"), F.col("y.pos")
     may = F.least(i, j) + 1 + F.least(n_a - i, n_b - j) - 1 >= _room(n_a, n_b)
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.root") != F.col("y.root")) & _sizes_fit(n_a, n_b) & may)
-    counted = met.groupBy(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).agg(F.count("*").alias("shared"), F.min(F.struct(i.alias("i"), j.alias("j"))).alias("first"), F.min(F.least("x.need", "y.need")).alias("need"), F.min(n_a).alias("n_a"), F.min(n_b).alias("n_b"))
+    counted = met.groupBy(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).agg(F.count("*").alias("shared"), F.min(F.struct(i.alias("i"), j.alias("j"))).alias("first"), F.min("x.need").alias("need_a"), F.min("y.need").alias("need_b"), F.min(n_a).alias("n_a"), F.min(n_b).alias("n_b"))
     rest = F.least(F.col("n_a") - F.col("first.i"), F.col("n_b") - F.col("first.j"))
-    return counted.where((F.col("shared") >= F.col("need")) & (rest >= _room(F.col("n_a"), F.col("n_b")))).select("a", "b")
+    enough = _enough(F.col("shared"), F.col("n_a"), F.col("n_b"), F.col("need_a"), F.col("need_b"))
+    return counted.where((F.col("shared") >= F.least("need_a", "need_b")) & enough & (rest >= _room(F.col("n_a"), F.col("n_b")))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import f1, precision, recall
 from .intervals import reciprocal_join
+from .stage import staged
 
 KEYS = ("sample", "svtype")
 PLACE = ("chrom", "cstart", "cend")
@@ -21,12 +22,12 @@ def classify(pred: DataFrame, truth: DataFrame) -> DataFrame:
     pred: input_set, sample, svtype, chrom, cstart, cend, sources.  truth:
     sample, svtype, chrom, cstart, cend.  A sample or type that one side lacks
     counts as empty there.  Only truth of samples that an input set has is
-    held against it.  FP and FN are what no pair names: the pairs are kept
-    (in memory, then on disk) so that the interval join runs once.
+    held against it.  FP and FN are what no pair names: the pairs are staged,
+    so the interval join runs once.
     """
     sets = pred.select("input_set", "sample").distinct()
     held = truth.join(sets, "sample")
-    pairs = reciprocal_join(pred, held, ("input_set", *KEYS)).persist()
+    pairs = staged(reciprocal_join(pred, held, ("input_set", *KEYS)))
     keys = ["input_set", *KEYS, *PLACE]
     side = lambda df, p: df.select(*(F.col(f"{p}{k}").alias(k) for k in keys)).distinct()
     fp = pred.join(side(pairs, "a_"), keys, "left_anti")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analysis, classify, consensus, liftover, truth
+from ..operators.stage import staged
 from ..sources import tables, vcf
 
 REQUIRED_TOOLS = {"cnvpytor", "delly", "gatk"}
@@ -80,8 +81,8 @@ class Pipeline:
     def consensus(self, calls: DataFrame) -> DataFrame:
         """input_set (<set>_intersections, <set>_unions), sample, svtype, chrom, cstart, cend, sources."""
         keys = ("input_set", *consensus.KEYS)
-        kept = consensus.prepared(consensus.driven_by(calls, "delly", keys), self.genome, self.regions).persist()
-        pairs = consensus.tool_pairs(kept, keys).persist()
+        kept = staged(consensus.prepared(consensus.driven_by(calls, "delly", keys), self.genome, self.regions))
+        pairs = staged(consensus.tool_pairs(kept, keys))
         self.logs["consensus"] = consensus.log(calls, kept, pairs, keys)
         return _union([consensus.consensus(pairs, m, keys).withColumn("input_set", F.concat("input_set", F.lit(f"_{m}s"))) for m in ("intersection", "union")])
 
@@ -99,7 +100,7 @@ class Pipeline:
                 continue
             mine = F.col("input_set").isin(key(name), f"{key(name)}_intersections", f"{key(name)}_unions")
             blocks = tables.read_chain(self.spark, spec["chain"])
-            judged = liftover.liftover(pred.where(mine), blocks).persist()
+            judged = staged(liftover.liftover(pred.where(mine), blocks))
             ok = judged.where("status = 'ok'")
             parts.append(ok.select(*(F.col({"cstart": "new_start", "cend": "new_end"}.get(c, c)).alias(c) for c in pred.columns)))
             logs.append(liftover.liftover_log(judged, ("input_set", *consensus.KEYS)))
@@ -114,23 +115,23 @@ class Pipeline:
             rows = vcf.truth(self._files(path, "{header}"), self.genome)
             parts.append(rows.withColumn("bench", F.lit(name)))
         every = _union(parts)
-        common = every.join(truth.common_samples(every), "sample", "left_semi").persist()
+        common = staged(every.join(truth.common_samples(every), "sample", "left_semi"))
         merged = truth.truth_merged(common)
         self.logs["benchmark"] = truth.merge_log(common, merged)
         return merged
 
     def run(self) -> dict[str, DataFrame]:
         """Everything, written below output_dir; the analysis tables are also returned."""
-        calls = self.calls().persist()
+        calls = staged(self.calls())
         tables.write_bed(calls, f"{self.out}/bed", "calls", ("input_set", "tool", "sample", "svtype"))
-        found = self.consensus(calls).persist()
+        found = staged(self.consensus(calls))
         control = self.control(found.select("sample").distinct())
         pred = found if control is None else found.unionByName(control)
-        pred = self.lifted(pred.select("input_set", *consensus.KEYS, "chrom", "cstart", "cend", "sources")).persist()
+        pred = staged(self.lifted(pred.select("input_set", *consensus.KEYS, "chrom", "cstart", "cend", "sources")))
         tables.write_bed(pred, f"{self.out}/predictions", "consensus", ("input_set", "sample", "svtype"))
-        merged = self.truth().persist()
+        merged = staged(self.truth())
         tables.write_bed(merged, f"{self.out}/truth", "regions", ("sample", "svtype"))
-        rows = classify.classify(pred, merged).persist()
+        rows = staged(classify.classify(pred, merged))
         for kind in ("TP", "FP", "FN"):
             tables.write_bed(rows.where(F.col("classification") == kind), f"{self.out}/binary_classification/{kind}", kind, ("input_set", "sample", "svtype"))
         for name, log in self.logs.items():
@@ -141,7 +142,7 @@ class Pipeline:
         return results
 
     def analysis(self, rows: DataFrame) -> dict[str, DataFrame]:
-        within = analysis.in_bounds(classify.shared_samples(rows, self.config.get("shared_samples", "all"))).persist()
+        within = staged(analysis.in_bounds(classify.shared_samples(rows, self.config.get("shared_samples", "all"))))
         dist = classify.scored(analysis.distributions(within, POINTS))
         out = {"summary": classify.size_classes(rows), "distributions": dist}
         for metric in ("precision", "recall", "f1"):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics, svtype
 from ..operators import analysis, classify, consensus, intervals, liftover, truth
+from ..operators.stage import staged
 from .fixtures import fixture, table
 
 POINTS = 41
@@ -31,10 +32,10 @@ class Run:
     # what several tables are made of is computed once
 
     def _kept(self):
-        return consensus.prepared(consensus.driven_by(self.calls, "delly"), self.genome, self.regions).persist()
+        return staged(consensus.prepared(consensus.driven_by(self.calls, "delly"), self.genome, self.regions))
 
     def _pairs(self):
-        return consensus.tool_pairs(self.kept).persist()
+        return staged(consensus.tool_pairs(self.kept))
 
     def _intersection(self):
         return consensus.consensus(self.pairs, "intersection")
@@ -44,7 +45,7 @@ class Run:
 
     def _merged(self):
         common = truth.common_samples(self.truth)
-        return truth.truth_merged(self.truth.join(common, "sample", "left_semi")).persist()
+        return staged(truth.truth_merged(self.truth.join(common, "sample", "left_semi")))
 
     def _log(self):
         return consensus.log(self.calls.where("svtype <> 'NA'"), self.kept, self.pairs)
@@ -52,10 +53,10 @@ class Run:
     def _pred(self):
         gatk = self.kept.where("tool = 'gatk'").select("sample", "svtype", "chrom", "cstart", "cend", F.col("tool").alias("sources"))
         parts = [df.withColumn("input_set", F.lit(n)) for n, df in zip(SETS, (self.intersection, self.union, gatk), strict=True)]
-        return parts[0].unionByName(parts[1]).unionByName(parts[2]).persist()
+        return staged(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
     def _classified(self):
-        return classify.classify(self.pred, self.merged).persist()
+        return staged(classify.classify(self.pred, self.merged))
 
     def _scored(self):
         return classify.scored(classify.counts(self.classified))
@@ -64,7 +65,7 @@ class Run:
         return analysis.in_bounds(self.classified)
 
     def _dist(self):
-        return analysis.distributions(self.in_bounds, POINTS).persist()
+        return staged(analysis.distributions(self.in_bounds, POINTS))
 
     def _sizes(self):
         return analysis.size_samples(self.in_bounds, SETS[0])

@@ -20,6 +20,11 @@ cut in m // 5 + 1 pieces, a match has one of them unchanged, at most m // 5
 places off.  All windows for which that holds are embedded; this loses
 nothing, whatever the documents are.
 
+Items of fewer than WALKED_WORDS words are looked for exactly, without walks:
+an edit changes q runs of q words at most, so a stretch that matches shares
+m + 1 - q - q * (m // 5) of them with the item.  Where that many stand close
+enough together, the edit distance decides.
+
 Items are sent to every task in blocks of at most BLOCK_BYTES of text.
 """
 
@@ -38,8 +43,8 @@ from .frames import batches
 from .texthash import U, mix, sequence_hashes, word_hashes
 
 EDITS_PER = 5
-#: Items with fewer words say too little to be told from chance and are left out.
-LEAST_WORDS = 8
+#: Items with fewer words have pieces too short for PIECE_WORDS and are found by shared runs of words.
+WALKED_WORDS = 8
 TARGET_RECALL = 0.99
 #: Tables that sample one walk, and walks at most.
 PER_WALK = 6
@@ -48,6 +53,8 @@ PLACES = 2
 TRIALS = 200
 BLOCK_BYTES = 8 << 20
 PIECE_WORDS = 3
+#: Pairs of a run in a text and an item that are held at a time; one text alone may have more.
+MOST_PAIRS = 2 << 20
 _FILTER_BITS = 20
 FOUND = "_loomspan_found"
 _PAD = U(0x6A09E667F3BCC909)
@@ -105,6 +112,12 @@ def distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def shared_runs(m: int) -> tuple[int, int]:
+    """(words of a run, PIECE_WORDS at most; runs that an item of m words shares with each stretch that matches, 1 at least)."""
+    q = next(q for q in range(PIECE_WORDS, 0, -1) if m + 1 - q - q * allowed(m) > 0)
+    return q, m + 1 - q - q * allowed(m)
+
+
 @dataclass
 class Items:
     """A block of items, ready to be looked for."""
@@ -115,6 +128,7 @@ class Items:
     by_bucket: dict[int, dict[int, list[int]]] = field(default_factory=dict)  # by size: item by bucket
     pieces: dict[int, list[tuple[int, int]]] = field(default_factory=dict)  # by hash: (size, place in item)
     known: np.ndarray = field(default_factory=lambda: np.zeros(1 << _FILTER_BITS, bool))
+    runs: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # by words of a run: sorted hashes, the item of each
 
 
 def fit(ids: list, texts: list[str | None]) -> Items:
@@ -124,12 +138,15 @@ def fit(ids: list, texts: list[str | None]) -> Items:
     sizes = defaultdict(list)
     for i, item_id in enumerate(ids):
         mine = words[offsets[i] : offsets[i + 1]]
-        if len(mine) >= LEAST_WORDS:
+        if len(mine):
             sizes[len(mine)].append(len(out.ids))
             out.ids.append(item_id)
             out.words.append(mine)
-    pieces = defaultdict(set)
+    pieces, exact = defaultdict(set), []
     for m, mine in sizes.items():
+        if m < WALKED_WORDS:
+            exact += mine
+            continue
         rows = np.stack([out.words[i] for i in mine])
         out.walks[m] = _walks(rows, m)
         found = defaultdict(list)
@@ -146,6 +163,22 @@ def fit(ids: list, texts: list[str | None]) -> Items:
     out.pieces = {h: sorted(p) for h, p in pieces.items()}
     if out.pieces:
         out.known[(np.array(list(out.pieces), np.uint64) & U((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
+    out.runs = _runs(out.words, exact)
+    return out
+
+
+def _runs(words: list[np.ndarray], exact: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length of a run the hashes of the runs of these items, each once an item, and the items that have them."""
+    made = defaultdict(list)
+    for i in exact:
+        q, _ = shared_runs(len(words[i]))
+        hashes = np.unique(sequence_hashes(words[i], np.array([0, len(words[i])]), q)[0])
+        made[q].append((hashes, np.full(len(hashes), i)))
+    out = {}
+    for q, each in made.items():
+        hashes, owners = (np.concatenate(x) for x in zip(*each, strict=True))
+        order = np.argsort(hashes, kind="stable")
+        out[q] = hashes[order], owners[order]
     return out
 
 
@@ -187,9 +220,55 @@ def look(texts: list[bytes], items: Items) -> list[dict[int, tuple[int, int]]]:
         every = np.array(sorted(places), np.int64)
         for begin in range(0, len(every), 20_000):
             _embedded(every[begin : begin + 20_000], m, words, padded, offsets, items, found)
+    for q in items.runs:
+        _counted(q, words, offsets, items, found)
     return found
 
 
+def _counted(q: int, words: np.ndarray, offsets: np.ndarray, items: Items, found: list[dict]) -> None:
+    """Adds the items whose runs have q words, exactly."""
+    known, owners = items.runs[q]
+    hashes, at = sequence_hashes(words, offsets, q)
+    first = np.searchsorted(known, hashes)
+    n = np.searchsorted(known, hashes, "right") - first
+    hit = np.flatnonzero(n)
+    if not len(hit):
+        return
+    at, first, n = at[hit], first[hit], n[hit]
+    who = np.searchsorted(offsets, at, "right") - 1
+    part = ((np.cumsum(n) - n) // MOST_PAIRS)[np.searchsorted(who, who)]
+    for mine in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1):
+        many = n[mine]
+        slot = np.repeat(first[mine] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        order = np.argsort(owners[slot], kind="stable")
+        _verified(q, owners[slot][order], np.repeat(at[mine], many)[order], np.repeat(who[mine], many)[order], words, offsets, items, found)
+
+
+def _verified(q: int, owner: np.ndarray, at: np.ndarray, who: np.ndarray, words: np.ndarray, offsets: np.ndarray, items: Items, found: list[dict]) -> None:
+    """Looks for each item around its runs, sorted by item and place, where enough of them are near each other."""
+    ones, back = np.unique(owner, return_inverse=True)
+    sizes = [len(items.words[k]) for k in ones]
+    need = np.array([shared_runs(m)[1] for m in sizes])[back]
+    span = np.array([m + allowed(m) for m in sizes])[back]
+    last = np.arange(len(owner)) + need - 1
+    inside = last < len(owner)
+    last = np.minimum(last, len(owner) - 1)
+    near = np.flatnonzero(inside & (owner[last] == owner) & (who[last] == who) & (at[last] + q - at <= span))
+    if not len(near):
+        return
+    owner, who, begin, stop = owner[near], who[near], at[last[near]] + q - span[near], at[near] + span[near]
+    new = np.flatnonzero((np.diff(owner) != 0) | (np.diff(who) != 0) | (begin[1:] > stop[:-1])) + 1
+    begin = np.maximum(begin, offsets[who])[np.concatenate([[0], new])]
+    tail = np.concatenate([new, [len(near)]]) - 1
+    stop = np.minimum(stop, offsets[who + 1])[tail]
+    for item, i, a, b in zip(owner[tail].tolist(), who[tail].tolist(), begin.tolist(), stop.tolist(), strict=True):
+        if found[i].get(item, (1,))[0] == 0:
+            continue
+        d, end = distance(items.words[item], words[a:b])
+        if d <= allowed(len(items.words[item])) and (item not in found[i] or d < found[i][item][0]):
+            found[i][item] = (d, a + end - int(offsets[i]))
+
+
 def _embedded(places: np.ndarray, m: int, words: np.ndarray, padded: np.ndarray, offsets: np.ndarray, items: Items, found: list[dict]) -> None:
     who, s = places[:, 0], places[:, 1]
     lo, hi = offsets[who], offsets[who + 1]
@@ -217,9 +296,8 @@ def _embedded(places: np.ndarray, m: int, words: np.ndarray, padded: np.ndarray,
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs with the column FOUND added: array of (item string, distance int, stop int: the word behind the passage), sorted by item.
 
-    Null texts and items have no words.  Items of fewer than LEAST_WORDS
-    words are left out; equal items are each found.  An empty benchmark
-    finds nothing.
+    Null texts and items have no words.  Items without words are not looked
+    for; equal items are each found.  An empty benchmark finds nothing.
     """
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("t is not null")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0

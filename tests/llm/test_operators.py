@@ -238,6 +238,34 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contaminated(df, bench.where("false")).count() == 0
 
 
+def test_decontamination_of_short_items(spark):
+    r = random.Random(12)
+    items = [(i, " ".join(words(1 + i % 7, 700 + i, 12))) for i in range(42)] + [(60, "w1 w2 w3 w4"), (61, "w1 W2 w3 w4"), (62, ""), (63, None), (64, "  ")]
+    rows = [(k, " ".join(words(r.randrange(0, 40), k, 12 if k % 2 else 10**5))) for k in range(60)]
+    for k in range(60, 200):
+        w = (items[k % 42][1] or "").upper().split()
+        if k % 3:
+            at = r.randrange(len(w))
+            w[at : at + 1] = r.choice([[], ["new"], [w[at], "new"]])
+        rows.append((k, " ".join(words(r.randrange(0, 9), k, 10**5) + w + words(r.randrange(0, 9), k + 500, 10**5))))
+    rows += [(300, None), (301, ""), (302, "w1 " * 400)]
+    want = set()
+    for k, t in rows:
+        coded = decontaminate.word_hashes([(t or "").encode()], lower=True)[0]
+        for i, x in items:
+            mine = decontaminate.word_hashes([(x or "").encode()], lower=True)[0]
+            d, stop = decontaminate.distance(mine, coded)
+            if len(mine) and d <= len(mine) // 5:
+                want.add((k, i, d, stop))
+    assert len(want) > 400 and {d for _, _, d, _ in want} == {0, 1}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.contaminated(df, bench).collect()
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
+    kept = {x["doc_id"] for x in decontaminate.decontaminated(df, bench).collect()}
+    assert kept == {k for k, _ in rows} - {k for k, *_ in want}
+
+
 def test_edit_distance():
     import numpy as np
 

@@ -11,7 +11,8 @@ ASCII.
 * A table of the LSH samples places of that output.  Tables share
   walks; the walks' number is set at fitting: items are edited at random as far
   as is allowed, and walks are added until the share of edited copies that share a bucket with their
-  item reaches TARGET_RECALL, and then as many again.
+  item reaches TARGET_RECALL, and then as many again.  Sizes for which that
+  would take more than MOST_WALKS are not walked but looked for exactly.
 * Items that share a bucket with an item-sized window of a document are
   verified by their exact edit distance around that window.
 
@@ -20,10 +21,10 @@ cut in m // 5 + 1 pieces, a match has one of them unchanged, at most m // 5
 places off.  All windows for which that holds are embedded; this loses
 nothing, whatever the documents are.
 
-Items of fewer than WALKED_WORDS words are looked for exactly, without walks:
-an edit changes q runs of q words at most, so a stretch that matches shares
-m + 1 - q - q * (m // 5) of them with the item.  Where that many stand close
-enough together, the edit distance decides.
+Items of fewer than WALKED_WORDS words, and long ones that walks don't serve,
+are looked for exactly: an edit changes q runs of q words at most, so a
+stretch that matches shares m + 1 - q - q * (m // 5) of them with the item.
+Where that many stand close enough together, the edit distance decides.
 
 Items are sent to every task in blocks of at most BLOCK_BYTES of text.
 """
@@ -144,11 +145,12 @@ def fit(ids: list, texts: list[str | None]) -> Items:
             out.words.append(mine)
     pieces, exact = defaultdict(set), []
     for m, mine in sizes.items():
-        if m < WALKED_WORDS:
+        rows = np.stack([out.words[i] for i in mine])
+        walks = _walks(rows, m) if m >= WALKED_WORDS else None
+        if walks is None:
             exact += mine
             continue
-        rows = np.stack([out.words[i] for i in mine])
-        out.walks[m] = _walks(rows, m)
+        out.walks[m] = walks
         found = defaultdict(list)
         for t in range(out.walks[m]):
             for i, each in zip(mine, buckets(rows, t).tolist(), strict=True):
@@ -182,8 +184,8 @@ def _runs(words: list[np.ndarray], exact: list[int]) -> dict[int, tuple[np.ndarr
     return out
 
 
-def _walks(rows: np.ndarray, m: int) -> int:
-    """Walks that bring edited copies of these items to the target recall."""
+def _walks(rows: np.ndarray, m: int) -> int | None:
+    """Twice the walks that bring edited copies of these items to the target recall; None if that is more than MOST_WALKS."""
     draw = np.random.default_rng(m)
     of = draw.integers(0, len(rows), TRIALS)
     edited = []
@@ -195,11 +197,11 @@ def _walks(rows: np.ndarray, m: int) -> int:
         edited.append((words + [_PAD] * m)[:m])
     edited = np.array(edited, np.uint64)
     met = np.zeros(TRIALS, bool)
-    for t in range(MOST_WALKS):
+    for t in range(MOST_WALKS // 2):
         met |= (buckets(edited, t) == buckets(rows[of], t)).any(1)
         if met.mean() >= TARGET_RECALL:
-            return min(MOST_WALKS, 2 * (t + 1))
-    return MOST_WALKS
+            return 2 * (t + 1)
+    return None
 
 
 def look(texts: list[bytes], items: Items) -> list[dict[int, tuple[int, int]]]:

@@ -266,6 +266,24 @@ def test_decontamination_of_short_items(spark):
     assert kept == {k for k, _ in rows} - {k for k, *_ in want}
 
 
+def test_decontamination_of_long_items():
+    r = random.Random(13)
+    items = [words(n, 800 + n, 10**5) for n in (400, 1200, 1500)]
+    texts, want = [], []
+    for k in range(36):
+        w = list(items[k % 3])
+        for at in r.sample(range(len(w)), len(w) // 5 if k < 30 else len(w) // 3):
+            w[at] = f"n{r.randrange(10**6)}" if k % 2 else w[at] + " new"
+        texts.append(" ".join(words(r.randrange(0, 300), k, 10**5) + w + words(r.randrange(0, 300), k + 500, 10**5)).encode())
+        want.append({k % 3} if k < 30 else set())
+    made = decontaminate.fit([0, 1, 2], [" ".join(x) for x in items])
+    got = decontaminate.look(texts, made)
+    assert [set(x) for x in got] == want
+    for k, x in enumerate(got[:30]):
+        mine, coded = (decontaminate.word_hashes([t], lower=True)[0] for t in (" ".join(items[k % 3]).encode(), texts[k]))
+        assert x[k % 3] == decontaminate.distance(mine, coded)
+
+
 def test_edit_distance():
     import numpy as np
 

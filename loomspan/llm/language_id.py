@@ -7,7 +7,8 @@ whose dictionary gives the fewest bytes wins.  Where the best and the second
 differ by less than a margin, the answer is rejected.
 
 Long texts are compressed whole, in blocks whose sizes add up.  The model is
-at most MAX_LANGUAGES * DICT_BYTES, whatever the size of the corpus.
+at most DICT_BYTES a language, whatever the size of the corpus; beyond
+MODEL_BYTES fitting fails rather than leave languages out.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ from pyspark.sql import functions as F
 DICT_BYTES = 32 << 10
 SAMPLE_ROWS = 400
 SAMPLE_CHARS = 1500
-MAX_LANGUAGES = 200
+#: Languages whose sample texts are gathered in one reading.
+FITTED_AT_ONCE = 100
+#: Bytes of all dictionaries, which are sent to every task.
+MODEL_BYTES = 64 << 20
 #: Text that is compressed at a time: beyond it a block finds itself in its own past more than in the dictionary.
 BLOCK = 8 << 10
 LEVELS = (6, 12)
@@ -56,13 +60,23 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Colu
     Of each language about SAMPLE_ROWS rows are read, those with the smallest
     hash of `order` (of the text if null), and of each SAMPLE_CHARS
     characters: the bounded sample of labelled rows the classifier is fitted
-    on.  At most the MAX_LANGUAGES most frequent languages are learned.
+    on.  Every language is learned; if their dictionaries may take more than
+    MODEL_BYTES, a ValueError is raised.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r["l"]: r["n"] for r in rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()}
-    if not counts:
-        return Model((), ())
+    most = MODEL_BYTES // DICT_BYTES
+    counts = {r["l"]: r["n"] for r in rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).limit(most + 1).collect()}
+    if len(counts) > most:
+        raise ValueError(f"more than {most} languages; a model that is sent to every task takes {MODEL_BYTES} bytes")
     place = F.pmod(F.xxhash64(F.col(text) if order is None else order), F.lit(1 << 30))
+    names, found = sorted(counts), {}
+    for begin in range(0, len(names), FITTED_AT_ONCE):
+        found |= _samples(rows, {k: counts[k] for k in names[begin : begin + FITTED_AT_ONCE]}, text, lang, place)
+    return Model(tuple(found), tuple(found.values()))
+
+
+def _samples(rows: DataFrame, counts: dict[str, int], text: str, lang: str, place: Column) -> dict[str, bytes]:
+    """Dictionaries of the languages in counts, which has the rows of each."""
     below = F.lit(0)
     for k, n in counts.items():
         below = F.when(F.col(lang) == k, F.lit(int(min(1.0, SAMPLE_ROWS / n) * (1 << 30)))).otherwise(below)
@@ -73,7 +87,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Colu
         sample = b" ".join(dict.fromkeys(map(plain, part["t"].iloc[: 2 * SAMPLE_ROWS])))[:DICT_BYTES]
         if sample:
             found[k] = sample
-    return Model(tuple(found), tuple(found.values()))
+    return found
 
 
 def coders(model: Model) -> list[list[zstandard.ZstdCompressor]]:

@@ -206,6 +206,19 @@ def test_language_id(spark, docs, empty):
     assert {x["lang_pred"] for x in language_id.identify(docs, language_id.fit(empty)).collect()} == {"und"}
 
 
+def test_every_labelled_language_is_learned(spark, monkeypatch):
+    kinds = {f"l{k:03}": ["".join(random.Random(1000 * k + j).choices("abcdefghijklmnopqrstuvwxyz", k=7)) for j in range(30)] for k in range(210)}
+    rows = [(k, " ".join(random.Random(f"{k}{j}").choices(pool, k=60))) for k, pool in kinds.items() for j in range(3)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    model = language_id.fit(df.repartition(3))
+    assert model.languages == tuple(sorted(kinds))
+    levels = language_id.coders(model)
+    assert [language_id.classify(" ".join(kinds[k]), model.languages, levels)[::2] for k in ("l000", "l205", "l209")] == [("l000", False), ("l205", False), ("l209", False)]
+    monkeypatch.setattr(language_id, "MODEL_BYTES", 209 * language_id.DICT_BYTES)
+    with pytest.raises(ValueError):
+        language_id.fit(df)
+
+
 def test_held_out_is_crc(spark):
     got = {x["id"]: x["h"] for x in spark.range(200).select("id", language_id.held_out("id").alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(200)}

@@ -26,9 +26,11 @@ def connected(links: DataFrame) -> DataFrame:
     links = links.where("u is not null and v is not null and u <> v")
     now = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _total(now)
-    for _ in range(ROUNDS):
-        if not before[0]:
-            break
+    rounds = 0
+    while before[0]:
+        rounds += 1
+        if rounds > ROUNDS:
+            raise RuntimeError(f"components still changed after {ROUNDS} rounds")
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

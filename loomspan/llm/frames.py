@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share; where none is set, a local one if all runs in one process, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="loomspan-")
         spark.sparkContext.setCheckpointDir(found)
     elif not spark.sparkContext.getCheckpointDir():
@@ -44,6 +46,21 @@ def row_tag(spark: SparkSession) -> Column:
     return F.monotonically_increasing_id()
 
 
+def fixed(docs: DataFrame) -> DataFrame:
+    """docs itself if its rows come alike and in the same splits each time: a plain read of files; else a copy in the shared folder."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    node = plan
+    while node.nodeName() in ("Project", "Filter") and node.children().size() == 1:
+        node = node.children().head()
+    return docs if node.nodeName() == "LogicalRelation" and plan.deterministic() else keep(docs)
+
+
+def tagged(docs: DataFrame) -> DataFrame:
+    """docs with row_tag long, a number for each row, the same each time the result is computed."""
+    docs = fixed(docs)
+    return docs.withColumn("row_tag", row_tag(docs.sparkSession))
+
+
 def tidy(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished steps, which Spark deletes once the driver has collected its garbage."""
     gc.collect()

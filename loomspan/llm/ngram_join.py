@@ -8,17 +8,27 @@ estimated cost is least, and a pair is verified if its prefixes share the
 smaller k of the two.
 
 1. Equal sets become one: what follows works on distinct sets.
-2. A sketch of fixed size estimates how frequent each shingle is, over all
-   documents.  It only decides order and k, so its errors cost time, never
-   a link.
-3. Prefix shingles are indexed; those with one set are dropped.
-4. In each list the smallest set of a size class is the leader, and every
-   member is verified against it.  Components of these links label the sets:
-   a large group of near copies has one label after a linear number of pairs.
-5. Only pairs of sets with different labels are then counted over all
-   lists, filtered by k, size and position, and verified.  A pair with one
-   label adds nothing to the components, and a pair that shares no list isn't
-   similar, so the components are exact.
+2. A first order sets most of them aside.  Shingles whose hash is in the
+   lowest SHARE of all hashes come first, by how many sets have them, counted
+   exactly and over all documents; then come the others, by hash.  As a
+   prefix is a fifth of a set, it nearly always ends among the first kind, so
+   only those travel; a set that has too few of them sends the others that
+   its prefix may need.  A set whose prefix shares nothing with any other is
+   alone.
+3. The others are put in the full order: all of their shingles are counted
+   among them.  Shingles that one set has are only counted: they take places
+   in its prefix but make no pair.  Of the others a set keeps those in its
+   prefix, whose length it chooses by the lengths of the lists they are in.
+4. Rounds of leaders.  In each list the set with the fewest shingles of its
+   own leads its size class.  Each set is verified against one leader, that
+   with which it shares the most; components of these links label the sets.
+   In the next rounds a label stands in a list with one set.  So a group of
+   near copies comes to one label after a number of pairs that grows with its
+   size, not its square.
+5. Only pairs of sets with different labels are then counted over the part
+   of their prefixes that their two sizes leave, filtered by k and verified.
+   A pair with one label adds nothing to the components, and a pair that
+   shares less isn't similar, so the components are exact.
 
 Verification compares whole sets, made anew from the whole texts.
 """
@@ -33,17 +43,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .frames import batches, cut, keep, row_tag, sieve, signed
+from .frames import batches, cut, keep, sieve, signed, tagged
 from .texthash import U, mix, sequence_hashes, word_hashes
 
 WIDTH = 5
 THRESHOLD = 80  # in hundredths
 MOST_MATCHES = 4
-SKETCH_BITS = 17
-#: Lists above this many sets, by the estimate, are dealt out by set.
+#: Of all hashes the share whose shingles are counted and come first in the first order.
+SHARE = 0.25
+SKETCH_BITS = 14
+#: Lists above this many sets, by the estimate, are counted in several parts.
 HOT_LIST = 100_000
 #: Cost of verifying a pair, in list entries read.
 VERIFY_COST = 50.0
+LEADER_ROUNDS = 2
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -66,10 +79,17 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def set_id(shingles: np.ndarray) -> np.uint64:
-    """One number for a set; equal sets have equal numbers."""
-    total = mix(shingles ^ U(0xA0761D6478BD642F)).sum(dtype=np.uint64, keepdims=True)
-    return mix(total + U(len(shingles)))[0]
+def set_id(shingles: np.ndarray, seed: int = 0) -> tuple[np.uint64, np.uint64]:
+    """Two independent numbers for a set; equal sets have equal numbers."""
+    more = U(2 * seed + 1) * U(0xA0761D6478BD642F)
+    a = mix(shingles ^ more).sum(dtype=np.uint64, keepdims=True)
+    b = mix(shingles + more).sum(dtype=np.uint64, keepdims=True)
+    return mix(a + U(len(shingles)))[0], mix(b ^ U(len(shingles)))[0]
+
+
+def least_common(n):
+    """Shingles at least that a similar set has of a set of n."""
+    return -(-THRESHOLD * n // 100)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -77,77 +97,98 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return common > 0 and 100 * common >= THRESHOLD * (len(a) + len(b) - common)
 
 
-def _sets(rows: DataFrame) -> DataFrame:
+def tokens(shingles: np.ndarray, share: float) -> tuple[np.ndarray, int]:
+    """(the shingles of a set that may be in its prefix, how many of them are of the first kind).  The others are in order."""
+    n = len(shingles)
+    first = n if share >= 1 else int(np.searchsorted(shingles, U(int(share * 2**64))))
+    need = min(n, n - least_common(n) + 1)
+    return shingles[: max(first, need)], first
+
+
+def _read(rows: DataFrame, seed: int) -> DataFrame:
+    """doc_id, row_tag, n_shingles, set_id, proof, first, tokens.  proof: differs where different sets have one set_id."""
+
     def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        seen = set()
         for column in series:
             out = []
             for _, texts in batches([column.to_frame("text")]):
-                out += [(len(s), set_id(s)) for s in shingle_sets(texts)]
-            n, ids = zip(*out, strict=True) if out else ((), ())
-            yield pd.DataFrame({"n_shingles": np.array(n, np.int64), "set_id": signed(np.array(ids, np.uint64))})
-
-    made = F.pandas_udf(run, "n_shingles long, set_id long")
-    return rows.withColumn("_s", made("text")).select("doc_id", "row_tag", "_s.n_shingles", "_s.set_id")
+                for s in shingle_sets(texts):
+                    a, b = set_id(s, seed)
+                    t, first = tokens(s, SHARE) if len(s) and a not in seen else (s[:0], 0)
+                    seen.add(a)
+                    out.append((len(s), signed(a), signed(b), first, signed(t)))
+            yield pd.DataFrame(out, columns=["n", "id", "proof", "first", "tokens"])
 
+    made = F.pandas_udf(run, "n int, id long, proof long, first int, tokens array<long>")
+    return rows.withColumn("_s", made("text")).select("doc_id", "row_tag", F.col("_s.n").alias("n"), F.col("_s.id").alias("set_id"), "_s.proof", "_s.first", "_s.tokens")
 
-def _sketch(docs: DataFrame) -> np.ndarray:
-    """How many documents have a shingle, for each value of its first SKETCH_BITS bits: fixed size, over all documents."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for _, texts in batches(frames):
-            total += np.bincount((np.concatenate(shingle_sets(texts)) >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"slot": at, "n": total[at]})
-
-    rows = docs.select("text").mapInPandas(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    out[rows["slot"]] = rows["n"]
-    return out
+def _sets(rows: DataFrame) -> DataFrame:
+    """As _read(); equal set_ids are equal sets."""
+    for seed in range(64):
+        out = keep(_read(rows, seed))
+        if not out.groupBy("set_id").agg(F.min("proof").alias("lo"), F.max("proof").alias("hi")).where("lo <> hi").limit(1).count():
+            return out
+    raise RuntimeError("different sets have equal numbers under 64 seeds")
 
 
-def frequencies(sketch: np.ndarray) -> np.ndarray:
-    """Estimated document frequency by slot: what a slot has above the usual load."""
-    usual = float(np.median(sketch))
-    return np.maximum(1.0, sketch - usual - 3 * np.sqrt(usual))
+def _once(sets: DataFrame) -> DataFrame:
+    """One row of each set that isn't empty; in sets only the first row of a task has the tokens."""
+    carrying = sets.where(F.size("tokens") > 0)
+    again = carrying.groupBy("set_id").agg(F.count("*").alias("_c"), F.min("row_tag").alias("_one")).where("_c > 1").select("set_id", "_one")
+    return carrying.join(again, "set_id", "left").where("_one is null or _one = row_tag").select("set_id", "row_tag", "n", "first", "tokens")
 
 
-def prefix(shingles: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, int]:
-    """(the shingles of a set's prefix in global order, how many of them a similar set must share)."""
-    n = len(shingles)
-    f = frequency[(shingles >> U(64 - SKETCH_BITS)).astype(np.int64)]
-    order = np.lexsort((shingles, np.log2(f).astype(np.int64)))
-    least = n - -(-THRESHOLD * n // 100) + 1
-    lists = np.cumsum(f[order])
-    choices = [k for k in range(1, MOST_MATCHES + 1) if least + k - 1 <= n]
-    costs = [lists[least + k - 2] * (1 + VERIFY_COST / k) if lists[least + k - 2] > least + k - 1 else least + k - 1 for k in choices]
-    k = choices[int(np.argmin(costs))]
-    return shingles[order[: least + k - 1]], k
+def _hot(every: DataFrame) -> dict[int, int]:
+    """How many sets have shingles of a slot above the usual load, for slots where that is over HOT_LIST; a slot is the lowest bits of a hash."""
+    slots = 1 << SKETCH_BITS
+    found = {r["slot"]: r["n"] for r in every.groupBy(F.col("token").bitwiseAND(slots - 1).alias("slot")).agg(F.count("*").alias("n")).collect()}
+    usual = float(np.median([found.get(i, 0) for i in range(slots)]))
+    most = usual + 3 * np.sqrt(usual) + HOT_LIST
+    return {i: int(n - usual) for i, n in found.items() if n > most}
 
 
-def _index(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(frequencies(sketch))
+def _shared(once: DataFrame) -> DataFrame:
+    """token, set_id, n, code, df: shingles that several sets have; code: the number of the set's counted shingles, or -1 - place of one of the others.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = set()
-        for _, texts in batches(frames):
-            tokens, ids, sizes, needs = [], [], [], []
-            for s in shingle_sets(texts):
-                if not len(s) or (i := set_id(s)) in seen:
-                    continue
-                seen.add(i)
-                p, k = prefix(s, sent.value)
-                tokens.append(p)
-                ids.append(i)
-                sizes.append(len(s))
-                needs.append(k)
-            if tokens:
-                each = np.array([len(t) for t in tokens])
-                every = np.concatenate(tokens)
-                hot = sent.value[(every >> U(64 - SKETCH_BITS)).astype(np.int64)]
-                yield pd.DataFrame({"token": signed(every), "set_id": np.repeat(signed(np.array(ids, np.uint64)), each), "n": np.repeat(np.array(sizes, np.int32), each), "pos": np.concatenate([np.arange(x, dtype=np.int32) for x in each]), "need": np.repeat(np.array(needs, np.int8), each), "salts": np.where(hot > HOT_LIST, hot // HOT_LIST + 1, 1).astype(np.int32)})
-
-    return docs.select("text").mapInPandas(run, "token long, set_id long, n int, pos int, need byte, salts int")
+    A list that a slot's load shows to be hot is counted in parts by set, and
+    its estimated length stands for the exact one, alike in all its rows.
+    """
+    every = once.select("set_id", "n", "first", F.posexplode("tokens").alias("i", "token"))
+    code = F.when(F.col("i") < F.col("first"), F.col("first")).otherwise(-1 - F.col("i"))
+    packed = F.shiftleft(F.col("n").cast("long"), 32) + code.cast("long") + F.lit(1 << 31)
+    rows = every.select("token", "set_id", packed.alias("info"))
+    hot = _hot(once.select(F.explode("tokens").alias("token")))
+    if hot:
+        load = F.coalesce(F.element_at(F.from_json(F.lit("{" + ",".join(f'"{k}":{v}' for k, v in hot.items()) + "}"), "map<string,bigint>"), F.col("token").bitwiseAND((1 << SKETCH_BITS) - 1).cast("string")), F.lit(0))
+        rows = rows.withColumn("load", load).withColumn("salt", F.pmod("set_id", F.floor(F.col("load") / HOT_LIST) + 1))
+        counted = rows.withColumn("df", F.when(F.col("load") > 0, F.col("load") + 2).otherwise(F.expr("count(*) over (partition by token, salt)")))
+    else:
+        counted = rows.withColumn("df", F.expr("count(*) over (partition by token)"))
+    found = counted.where("df > 1")
+    code = F.col("info").bitwiseAND((1 << 32) - 1) - F.lit(1 << 31)
+    return found.select("token", "set_id", F.shiftright("info", 32).cast("int").alias("n"), code.cast("int").alias("code"), "df")
+
+
+def _prefixes(shared: DataFrame, most: int) -> DataFrame:
+    """token, set_id, n, pos, need, own: the shared shingles in each set's prefix, at their places in it; need: how many of them a similar set must share, `most` at most; own: places before all that several sets have."""
+    key = F.struct((F.col("code") < 0).alias("late"), F.when(F.col("code") < 0, -1 - F.col("code")).otherwise(F.col("df")).cast("long").alias("by"), "token", "df")
+    each = shared.groupBy("set_id").agg(F.first("n").alias("n"), F.max("code").alias("first"), F.array_sort(F.collect_list(key)).alias("all"))
+    counted = F.size(F.filter("all", lambda x: ~x["late"]))
+    own = F.when(F.col("first") > 0, F.col("first") - counted).otherwise(F.lit(0))
+    each = each.withColumn("own", own)
+    placed = F.transform("all", lambda x, i: F.struct(x["token"].alias("token"), x["df"].alias("df"), F.when(x["late"], x["by"].cast("int")).otherwise(i + F.col("own")).alias("pos")))
+    base = F.col("n") - F.ceil(F.col("n") * F.lit(THRESHOLD) / F.lit(100)).cast("int")
+    each = each.select("set_id", "n", "own", base.alias("base"), placed.alias("all"))
+    costs = []
+    for k in range(1, most + 1):
+        others = F.aggregate(F.filter("all", lambda x: x["pos"] < F.col("base") + k), F.lit(0.0), lambda t, x: t + x["df"] - 1)  # noqa: B023
+        cost = F.when(F.col("base") + k <= F.col("n"), others * (1 + VERIFY_COST / k) + k)
+        costs.append(F.struct(F.coalesce(cost, F.lit(float("inf"))).alias("cost"), F.lit(k).alias("k")))
+    each = each.withColumn("need", F.array_min(F.array(*costs))["k"])
+    kept = F.filter("all", lambda x: x["pos"] < F.col("base") + F.col("need"))
+    return each.select("set_id", "n", "own", "need", F.explode(kept).alias("x")).select("x.token", "set_id", "n", "x.pos", "need", "own")
 
 
 def _room(n_a: Column, n_b: Column) -> Column:
@@ -159,17 +200,26 @@ def _sizes_fit(n_a: Column, n_b: Column) -> Column:
     return F.lit(100) * F.least(n_a, n_b) >= F.lit(THRESHOLD) * F.greatest(n_a, n_b)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set ids that are similar, by whole sets.
+def _open(lists: DataFrame) -> DataFrame:
+    """The sets that share a list with another."""
+    several = lists.groupBy("token").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo <> hi").select("token")
+    return lists.join(several, "token", "left_semi").select("set_id").distinct()
 
-    A set's text is that of its smallest document.  Texts travel, not
-    shingles: compressed they are less than half the size.
-    """
-    pairs = cut(pairs)
-    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).distinct()
-    ones = cut(sets.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("row_tag").alias("row_tag")))
-    texts = keep(docs.where(sieve(ones, "row_tag")).join(ones, "row_tag").select("set_id", "text"))
-    left = pairs.join(texts.withColumnsRenamed({"set_id": "b", "text": "text_b"}), "b")
+
+def _whole(texts: DataFrame) -> DataFrame:
+    """set_id, n, first, tokens: all shingles of each set."""
+
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for column in series:
+            yield pd.Series([signed(s) for _, part in batches([column.to_frame("text")]) for s in shingle_sets(part)], dtype=object)
+
+    made = texts.select("set_id", F.pandas_udf(run, "array<long>")("text").alias("tokens"))
+    return made.select("set_id", F.size("tokens").alias("n"), F.size("tokens").alias("first"), "tokens")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of set ids that are similar, by whole sets.  texts: a text of each set; texts travel, as compressed they are less than half the size of shingles."""
+    left = cut(pairs).join(texts.withColumnsRenamed({"set_id": "b", "text": "text_b"}), "b")
     both = left.join(texts.withColumnsRenamed({"set_id": "a", "text": "text_a"}), "a")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,32 +247,43 @@ def _enough(shared: Column, n_a: Column, n_b: Column, need_a: Column, need_b: Co
     return shared + F.greatest(behind(n_a, need_a), behind(n_b, need_b)) >= _room(n_a, n_b)
 
 
-def leader_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs of a set and the leader of lists it is in, of about its size, if these lists alone are enough to make the pair likely.
+def _named(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """lists with root, the label of the set or else the set itself."""
+    if labels is None:
+        return lists.withColumn("root", F.col("set_id"))
+    return lists.join(labels.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+
+
+def leader_pairs(named: DataFrame, turn: int) -> DataFrame:
+    """For each set that stands for its label in a list the leader with which it shares the most, if that is enough to make them likely similar.
 
-    What this passes over stays under different labels and is met by crossing_pairs().
+    Size classes are moved by half in every other turn.  What this passes
+    over stays under different labels and is met by crossing_pairs().
     """
-    classed = lists.withColumn("size", F.floor(F.log2(F.col("n")) * 6).cast("int"))
-    leaders = classed.groupBy("token", "size").agg(F.min(F.struct("set_id", "n", "need")).alias("first"))
-    met = classed.join(leaders, ["token", "size"]).where(F.col("set_id") != F.col("first.set_id")).where(_sizes_fit(F.col("n"), F.col("first.n")))
-    pairs = met.groupBy(F.col("first.set_id").alias("a"), F.col("set_id").alias("b")).agg(F.count("*").alias("shared"), F.min("n").alias("n_b"), F.min("first.n").alias("n_a"), F.min("need").alias("need_b"), F.min("first.need").alias("need_a"))
-    return pairs.where(_enough(F.col("shared"), F.col("n_a"), F.col("n_b"), F.col("need_a"), F.col("need_b"))).select("a", "b")
+    classed = named.withColumn("size", F.floor(F.log2(F.col("n")) * 6 + 0.5 * turn).cast("int"))
+    stands = classed.groupBy("token", "size", "root").agg(F.min(F.struct("own", "set_id", "n", "need")).alias("one")).select("token", "size", "root", "one")
+    leaders = stands.groupBy("token", "size").agg(F.min(F.struct("one", "root")).alias("first"), F.count("*").alias("several")).where("several > 1").select("token", "size", "first")
+    met = stands.join(leaders, ["token", "size"]).where(F.col("root") != F.col("first.root"))
+    pairs = met.groupBy(F.col("one.set_id").alias("b"), F.col("first.one.set_id").alias("a")).agg(F.count("*").alias("shared"), *(F.first(f"{side}.{c}").alias(f"{c}_{name}") for c in ("n", "need") for side, name in (("one", "b"), ("first.one", "a"))))
+    likely = pairs.where(_sizes_fit(F.col("n_a"), F.col("n_b")) & _enough(F.col("shared"), F.col("n_a"), F.col("n_b"), F.col("need_a"), F.col("need_b")))
+    return likely.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
 
 
-def crossing_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
+def crossing_pairs(named: DataFrame) -> DataFrame:
     """Pairs of sets with different labels that share as many prefix shingles as they must and may be similar by size and position."""
-    named = lists.join(labels.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     mixed = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    open_lists = keep(named.join(mixed, "token", "left_semi"))
+    open_lists = named.join(mixed, "token", "left_semi").select("token", "set_id", "n", "pos", "need", "root")
+    places = open_lists.groupBy("set_id").agg(F.slice(F.array_sort(F.collect_list("pos")), 1, MOST_MATCHES).alias("places"))
+    open_lists = keep(open_lists.join(places, "set_id"))
     x, y = open_lists.alias("x"), open_lists.alias("y")
     n_a, n_b = F.col("x.n"), F.col("y.n")
-    i, j = F.col("x.pos"), F.col("y.pos")
-    may = F.least(i, j) + 1 + F.least(n_a - i, n_b - j) - 1 >= _room(n_a, n_b)
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.root") != F.col("y.root")) & _sizes_fit(n_a, n_b) & may)
-    counted = met.groupBy(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).agg(F.count("*").alias("shared"), F.min(F.struct(i.alias("i"), j.alias("j"))).alias("first"), F.min("x.need").alias("need_a"), F.min("y.need").alias("need_b"), F.min(n_a).alias("n_a"), F.min(n_b).alias("n_b"))
-    rest = F.least(F.col("n_a") - F.col("first.i"), F.col("n_b") - F.col("first.j"))
-    enough = _enough(F.col("shared"), F.col("n_a"), F.col("n_b"), F.col("need_a"), F.col("need_b"))
-    return counted.where((F.col("shared") >= F.least("need_a", "need_b")) & enough & (rest >= _room(F.col("n_a"), F.col("n_b")))).select("a", "b")
+    need = F.least("x.need", "y.need")
+    spare = need - _room(n_a, n_b)  # of the first n + spare shingles of either side similar sets share `need`
+    inside = (F.col("x.pos") < n_a + spare) & (F.col("y.pos") < n_b + spare)
+    inside &= F.coalesce((F.get("x.places", need - 1) < n_a + spare) & (F.get("y.places", need - 1) < n_b + spare), F.lit(False))  # either side has as many there
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.root") != F.col("y.root")) & _sizes_fit(n_a, n_b) & inside)
+    counted = met.groupBy(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).agg(F.count("*").alias("shared"), F.first(need).alias("need"))
+    return counted.where("shared >= need").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -233,21 +294,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     of white space has an empty set, is linked with nothing and is its own
     component.  component_id is the smallest doc_id reachable by links; null
     ids don't count, so it is null only where all ids reached are null.
-    Repeated rows are in one component.  row_tag tells rows apart.  Other
-    columns aren't read.  An empty table gives an empty result.
+    Repeated rows are in one component; ties are no matter, as all links
+    count.  row_tag tells rows apart.  Other columns aren't read and may have
+    any name.  A text of any length is one set.  An empty table gives an
+    empty result.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), row_tag(docs.sparkSession).alias("row_tag"), F.col(text).alias("text"))
-    sets = cut(_sets(rows))
-    sketch = _sketch(rows)
-    salted = _index(rows, sketch).withColumn("salt", F.when(F.col("salts") > 1, F.pmod("set_id", "salts")).otherwise(0))
-    ends = {"_lo": F.expr("min(set_id) over (partition by token, salt)"), "_hi": F.expr("max(set_id) over (partition by token, salt)")}
-    several = salted.withColumns(ends).where("_lo <> _hi or salts > 1")
-    lists = keep(several.select("token", "salt", "set_id", "n", "pos", "need").distinct().drop("salt"))
-    first = verified(leader_pairs(lists), rows, sets)
-    labels = connected(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    second = verified(crossing_pairs(lists, labels), rows, sets)
-    roots = connected(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(second.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    classes = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    rows = tagged(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    sets = _sets(rows)
+    once = _once(sets)
+    ones = cut(once.select("set_id", "row_tag").join(_open(_prefixes(_shared(once), 1)), "set_id", "left_semi"))
+    texts = keep(rows.where(sieve(ones, "row_tag")).join(ones, "row_tag").select("set_id", "text"))
+    lists = keep(_prefixes(_shared(keep(_whole(texts))), MOST_MATCHES))
+    labels = None
+    for turn in range(LEADER_ROUNDS):
+        found = verified(leader_pairs(_named(lists, labels), turn), texts).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        labels = connected(found if labels is None else found.unionByName(labels.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    last = verified(crossing_pairs(_named(lists, labels)), texts)
+    roots = connected(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(last.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    classes = sets.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = classes.join(ids, "root").select("set_id", F.col("root").alias("class_id"), "component_id")
-    return sets.join(named, "set_id", "left").select("doc_id", "row_tag", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class_id")
+    return sets.select("doc_id", "row_tag", F.col("n").cast("long").alias("n_shingles"), "set_id").join(named, "set_id", "left").select("doc_id", "row_tag", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class_id")

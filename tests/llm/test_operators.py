@@ -129,6 +129,23 @@ def test_near_duplicates_of_many_near_copies(spark, tmp_path):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == components(every)
 
 
+def test_near_duplicates_of_a_large_group(spark, tmp_path):
+    """500 near copies of one text, on both sides of the threshold, among texts that share a passage; 20 equal but for case; a derived table."""
+    r = random.Random(6)
+    base, passage, every = words(200, 300), words(60, 301), []
+    for k in range(500):
+        t = list(base)
+        for at in r.sample(range(200), r.randrange(0, 8)):
+            t[at] = f"e{r.randrange(10**6)}"
+        every.append((k, " ".join(t)))
+    every += [(500 + k, " ".join(words(r.randrange(0, 90), 400 + k, 10**5) + passage + words(r.randrange(0, 30), 900 + k, 10**5))) for k in range(80)]
+    every += [(600 + k, " ".join(base).upper() if k % 2 else " ".join(base)) for k in range(20)]
+    spark.createDataFrame(every, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    derived = spark.read.parquet(str(tmp_path / "d")).repartition(5).withColumn("n", F.lit(1)).withColumn("row_tag", F.lit("x"))
+    got = ngram_join.near_duplicates(derived).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == components(every)
+
+
 def test_exact_dedup(docs, empty):
     got = exact_dedup.exact_dedup(docs).collect()
     groups = collections.defaultdict(list)

@@ -39,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected
@@ -173,22 +173,20 @@ def _shared(once: DataFrame) -> DataFrame:
 
 def _prefixes(shared: DataFrame, most: int) -> DataFrame:
     """token, set_id, n, pos, need, own: the shared shingles in each set's prefix, at their places in it; need: how many of them a similar set must share, `most` at most; own: places before all that several sets have."""
-    key = F.struct((F.col("code") < 0).alias("late"), F.when(F.col("code") < 0, -1 - F.col("code")).otherwise(F.col("df")).cast("long").alias("by"), "token", "df")
-    each = shared.groupBy("set_id").agg(F.first("n").alias("n"), F.max("code").alias("first"), F.array_sort(F.collect_list(key)).alias("all"))
-    counted = F.size(F.filter("all", lambda x: ~x["late"]))
-    own = F.when(F.col("first") > 0, F.col("first") - counted).otherwise(F.lit(0))
-    each = each.withColumn("own", own)
-    placed = F.transform("all", lambda x, i: F.struct(x["token"].alias("token"), x["df"].alias("df"), F.when(x["late"], x["by"].cast("int")).otherwise(i + F.col("own")).alias("pos")))
+    one = Window.partitionBy("set_id")  # the shingles of one document
+    late = F.col("code") < 0
+    rank = F.row_number().over(one.orderBy(late, F.when(late, -1 - F.col("code")).otherwise(F.col("df")), "token")) - 1
+    own = F.max(F.col("code")).over(one) - F.count_if(~late).over(one)
     base = F.col("n") - F.ceil(F.col("n") * F.lit(THRESHOLD) / F.lit(100)).cast("int")
-    each = each.select("set_id", "n", "own", base.alias("base"), placed.alias("all"))
+    placed = shared.withColumn("rank", rank).withColumn("own", F.greatest(own, F.lit(0)).cast("int")).withColumn("pos", F.when(late, -1 - F.col("code")).otherwise(F.col("rank") + F.col("own")).cast("int")).withColumn("base", base)
+    reach = placed.where(F.col("pos") < F.col("base") + most)
     costs = []
     for k in range(1, most + 1):
-        others = F.aggregate(F.filter("all", lambda x: x["pos"] < F.col("base") + k), F.lit(0.0), lambda t, x: t + x["df"] - 1)  # noqa: B023
+        others = F.sum(F.when(F.col("pos") < F.col("base") + k, F.col("df") - 1)).over(one)
         cost = F.when(F.col("base") + k <= F.col("n"), others * (1 + VERIFY_COST / k) + k)
         costs.append(F.struct(F.coalesce(cost, F.lit(float("inf"))).alias("cost"), F.lit(k).alias("k")))
-    each = each.withColumn("need", F.array_min(F.array(*costs))["k"])
-    kept = F.filter("all", lambda x: x["pos"] < F.col("base") + F.col("need"))
-    return each.select("set_id", "n", "own", "need", F.explode(kept).alias("x")).select("x.token", "set_id", "n", "x.pos", "need", "own")
+    need = F.array_min(F.array(*costs))["k"] if most > 1 else F.lit(1)
+    return reach.withColumn("need", need).where(F.col("pos") < F.col("base") + F.col("need")).select("token", "set_id", "n", "pos", "need", "own")
 
 
 def _room(n_a: Column, n_b: Column) -> Column:
@@ -302,7 +300,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = tagged(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     sets = _sets(rows)
     once = _once(sets)
-    ones = cut(once.select("set_id", "row_tag").join(_open(_prefixes(_shared(once), 1)), "set_id", "left_semi"))
+    first = keep(_prefixes(_shared(once), 1).select("token", "set_id"))
+    ones = cut(once.select("set_id", "row_tag").join(_open(first), "set_id", "left_semi"))
     texts = keep(rows.where(sieve(ones, "row_tag")).join(ones, "row_tag").select("set_id", "text"))
     lists = keep(_prefixes(_shared(keep(_whole(texts))), MOST_MATCHES))
     labels = None

@@ -31,14 +31,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import batches, cut, row_tag
+from .frames import batches, cut, tagged
 
 CAPACITY = 2048
 END_ID = 0
 #: Pieces in a slice, about; a slice is numbered by one task.
 SLICE_ROWS = 100_000
-#: Words a task remembers the ids of.
-MEMORY = 400_000
+#: Words of a generation that a worker process remembers the ids of; those of one batch may come on top.
+MEMORY = 500_000
 
 
 class WordTokens:
@@ -47,47 +47,56 @@ class WordTokens:
     The vocabulary's rules drop white space and never join across it, so a
     text's ids are those of its words in a row.  They also ignore case and
     part letters and digits from what follows, so a word that ends in ASCII
-    letters or digits and one mark has the ids of either in a row.  The ids
-    of a word are found once and remembered, up to MEMORY words.
+    letters or digits and one mark has the ids of either in a row.  Its
+    special marks are told in the text as it is, before case is ignored, and
+    end what stands before them.
+
+    Words are remembered in two generations: when MEMORY words are known they
+    become the older one, from which words in use are taken over.
     """
 
-    _mark = re.compile(rb"(?<=[a-z0-9])([.,!?;:|])(?!\S)")
+    _ends = frozenset(b".,!?;:|")
+    _plain = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         self.coder = Tokenizer.from_file(path)
-        self.coder.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
-
-    def _coded(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out = self.coder.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, out, strict=True)}
+        self.coder.encode_special_tokens = True  # marks are told here; what only lower-casing makes one is not
+        special = {t.content.encode(): i for i, t in self.coder.get_added_tokens_decoder().items()}
+        self.special = re.compile(b"|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.stand_in = {k: b" \xff%d " % i for k, i in special.items()}  # no UTF-8 has this byte
+        self.first_bytes = [k[:2] for k in special]
+        self.fixed = {b"\xff%d" % i: np.array([i], "<u4").tobytes() for i in special.values()}
+        self.known: dict[bytes, bytes] = dict(self.fixed)
+        self.older: dict[bytes, bytes] = {}
+
+    def _words(self, text: bytes) -> list[bytes]:
+        if any(b in text for b in self.first_bytes):
+            text = self.special.sub(lambda m: self.stand_in[m[0]], text)
+        return text.lower().split()
+
+    def _learn(self, new: set[bytes]) -> None:
+        known, older = self.known, self.older
+        cut = [w for w in new if len(w) > 1 and w[-1] in self._ends and w[-2] in self._plain]
+        ones = list((new.difference(cut) | {w[:-1] for w in cut} | {w[-1:] for w in cut}).difference(known))
+        unknown = [w for w in ones if w not in older]
+        known.update((w, older[w]) for w in ones if w in older)
+        out = self.coder.encode_batch_fast([w.decode("utf-8", "replace") for w in unknown], add_special_tokens=False)
+        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(unknown, out, strict=True))
+        known.update((w, known[w[:-1]] + known[w[-1:]]) for w in cut)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [self._mark.sub(rb" \1", t.lower()).split() for t in texts]
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
+        if len(self.known) > MEMORY:
+            self.older, self.known = self.known, dict(self.fixed)
+        split = [self._words(t) for t in texts]
+        new = set().union(*split).difference(self.known)
         if new:
-            found = self._coded(new)
-            if len(known) < MEMORY:
-                known.update(found)
-            else:
-                known = _Both(found, known)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
-
-
-class _Both(dict):
-    """A few words in front of the remembered ones."""
-
-    def __init__(self, front: dict, behind: dict):
-        super().__init__(front)
-        self.behind = behind
-
-    def __missing__(self, key):
-        return self.behind[key]
+            self._learn(new)
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, words)) for words in split]
 
 
 @functools.cache
@@ -100,7 +109,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: st
     """doc_id, row_tag, piece, start, length, ids_crc32: whole texts, cut only if longer than the capacity.
 
     Null text is empty and has the end id alone.  row_tag tells rows of equal
-    doc_id apart.
+    doc_id apart; a text of any length is tokenised whole.  Other columns
+    aren't read and may have any name.  An empty table gives an empty result.
     """
     end = np.array([END_ID], "<u4").tobytes()
 
@@ -115,8 +125,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: st
             yield pd.Series(out)
 
     cut_up = F.pandas_udf(run, "array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), row_tag(docs.sparkSession).alias("row_tag"), F.explode(cut_up(F.col(text))).alias("_p"))
-    return rows.select("doc_id", "row_tag", "_p.*")
+    rows = tagged(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    return rows.select("doc_id", "row_tag", F.explode(cut_up("text")).alias("_p")).select("doc_id", "row_tag", "_p.*")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -232,5 +242,11 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece: doc_id, row_tag, piece, start, length, ids_crc32, sequence_id, offset."""
+    """One row per piece: doc_id, row_tag, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Every row of docs is packed, repeated rows each for themselves, a null or
+    empty text as its end id.  Pieces of one length are interchangeable, and
+    which goes where is decided by hash.  An empty table gives an empty
+    result.  Other columns of docs aren't read and may have any name.
+    """
     return packed(pieces(docs, tokenizer, capacity, doc_id, text), capacity)

@@ -169,7 +169,6 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(path)
-    coder.encode_special_tokens = True
     want = collections.Counter()
     for i, t in rows_of(docs):
         ids = [*coder.encode(t, add_special_tokens=False).ids, 0]
@@ -186,6 +185,23 @@ def test_packing(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_ids_are_those_of_the_tokenizer(monkeypatch):
+    """Special marks in either case, marks behind words, combining letters, and a memory that is too small."""
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(queries.tokenizer_path())
+    r = random.Random(3)
+    parts = ["hello", "World", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|", "|>", "don't", "a.", "b,", "é", "e\u0301", "\u0301", "İ", "ß", "12", "3.5", "x|", "。", "\xa0", " ", " ", "\n", "\u2003", "'s", "...", "🙂", "Ǆ"]
+    texts = ["hello <|endoftext|> world", "hello <|ENDOFTEXT|> world", "a<|endoftext|>'s", "", " "] + ["".join(r.choice(parts) for _ in range(r.randrange(1, 14))) for _ in range(4000)]
+    want = [coder.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [3306, 49407, 1002]
+    for memory in (10**6, 5):
+        monkeypatch.setattr(packing, "MEMORY", memory)
+        made = packing.WordTokens(queries.tokenizer_path())
+        got = [x for i in range(0, len(texts), 50) for x in made([t.encode() for t in texts[i : i + 50]])]
+        assert [[int.from_bytes(x[i : i + 4], "little") for i in range(0, len(x), 4)] for x in got] == want
+
+
 def test_plan_fills_well():
     for seed in range(30):
         r = random.Random(seed)

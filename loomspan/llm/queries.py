@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_repeats, decontaminate, exact_dedup, language_id, ngram_join, packing, preference_format, shard_store, url_filter, word_repeats
-from .frames import fresh_path, table
+from .frames import fresh_path, table, tagged
 
 TOKENIZER_FILE = "word_bpe_49k.json"
 RULES = [
@@ -60,7 +60,9 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("row_tag")
+    docs = table(spark, sf_dir, "documents")
+    digests = tagged(docs.select("text")).select("row_tag", exact_dedup.digest(F.col("text")).alias("text_sha256"))
+    return exact_dedup.exact_dedup(docs).join(digests, "row_tag").drop("row_tag")
 
 
 OP6_SQL = r"""

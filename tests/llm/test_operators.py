@@ -3,12 +3,14 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomspan.llm import byte_repeats, decontaminate, exact_dedup, language_id, ngram_join, packing, preference_format, queries, shard_store, url_filter, word_repeats
+from loomspan.llm.frames import tagged
 
 SCHEMA = "doc_id long, text string, lang string, seed string, row_tag string, kept int, block long"
 
@@ -148,19 +150,24 @@ def test_near_duplicates_of_a_large_group(spark, tmp_path):
 
 def test_exact_dedup(docs, empty):
     got = exact_dedup.exact_dedup(docs).collect()
+    text_of = {r["row_tag"]: r["text"] for r in tagged(docs.select("text")).collect()}
     groups = collections.defaultdict(list)
-    norm = lambda t: __import__("re").sub("[\x20\x09-\x0d]+", " ", t)
+    norm = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t)
     for i, t in rows_of(docs):
         groups[norm(t)].append(i)
     want = collections.Counter()
     for t, ids in groups.items():
         known = [i for i in ids if i is not None]
         for i in ids:
-            want[i, min(known) if known else None, len(ids), hashlib.sha256(t.encode()).hexdigest()] += 1
-    assert collections.Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == want
+            want[i, min(known) if known else None, len(ids), t] += 1
+    assert collections.Counter((r["doc_id"], r["keep_id"], r["group_size"], norm(text_of[r["row_tag"]] or "")) for r in got) == want
     assert sum(r["kept"] for r in got) == len(groups)
     assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
     assert exact_dedup.exact_dedup(empty).count() == 0
+    derived = docs.repartition(7).withColumn("length", F.lit(1)).withColumn("sha", F.lit(2))
+    assert collections.Counter((r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(derived).collect()) == collections.Counter((r["doc_id"], r["keep_id"], r["group_size"]) for r in got)
+    digests = {r["text"]: r["d"] for r in docs.select("text", exact_dedup.digest(F.col("text")).alias("d")).collect()}
+    assert all(d == hashlib.sha256(norm(t or "").encode()).hexdigest() for t, d in digests.items())
 
 
 def test_packing(docs, empty):

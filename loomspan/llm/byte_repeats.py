@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .frames import batches, cut, keep, row_tag, signed
+from .frames import batches, cut, keep, signed, tagged
 from .suffix import Strings, common_prefixes, repeated, search, suffix_array
 from .texthash import U, mix, prefix_sums, windows
 
@@ -126,10 +126,11 @@ def byte_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     bytes also start anywhere else, in the same text too.  Windows are judged
     on the input.  Null and empty texts have no bytes, and their digest is
     that of nothing.  Repeated rows are texts of their own, so they repeat
-    each other.  docs should be a table that is read.  Other columns aren't
-    read; an empty table gives an empty result.
+    each other; all copies of a window go, so ties are no matter.  A text of
+    any length is judged whole.  Other columns aren't read and may have any
+    name; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), row_tag(docs.sparkSession).alias("row_tag"), F.col(text).alias("text"))
+    rows = tagged(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     texts = rows.select("row_tag", "text")
     runs = repeats.surviving_runs(texts, _make(width, seed), _batches)
     every = repeats.blocks(runs)

@@ -85,14 +85,14 @@ def surviving_runs(docs: DataFrame, make: Callable[[list[bytes]], dict[str, np.n
             yield pd.DataFrame({"row_tag": rows["row_tag"].to_numpy()[r["text"]], "seed": r["seed"], "block": r["block"], "start": r["start"].astype(np.int32), "n": r["n"].astype(np.int32), "place": r["place"].astype(np.int32)})
 
     runs = docs.mapInPandas(run, "row_tag long, seed long, block long, start int, n int, place int")
-    twice = runs.groupBy("seed").agg(F.count("*").alias("_c")).where("_c > 1").select("seed")
+    twice = keep(runs.groupBy("seed").agg(F.count("*").alias("_c")).where("_c > 1").select("seed"))  # written, so that the join stands alone and Spark may split a hot seed
     return keep(runs.join(twice, "seed"))
 
 
 def blocks(runs: DataFrame) -> DataFrame:
     """seed, block, n, place, copies, row_tag, start (of one copy), rivals (how many different blocks the seed has)."""
-    once = runs.groupBy("seed", "block").agg(F.count("*").alias("copies"), F.min(F.struct("row_tag", "start")).alias("_first"), F.min("n").alias("n"), F.min("place").alias("place"))
-    rivals = once.groupBy("seed").agg(F.count("*").alias("rivals"))
+    once = keep(runs.groupBy("seed", "block").agg(F.count("*").alias("copies"), F.min(F.struct("row_tag", "start")).alias("_first"), F.min("n").alias("n"), F.min("place").alias("place")))
+    rivals = keep(once.groupBy("seed").agg(F.count("*").alias("rivals")))
     return keep(once.join(rivals, "seed").select("seed", "block", "n", "place", "copies", "_first.row_tag", "_first.start", "rivals"))
 
 

@@ -52,7 +52,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = store.manifest()
     shards = spark.createDataFrame([(s.path, i, s.bytes) for i, s in enumerate(found["shards"])], f"{shard_store.SHARD} string, shard_id int, shard_bytes long")
     rows = store.read().select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), shard_store.SHARD)
-    return rows.join(F.broadcast(shards), shard_store.SHARD).select("doc_id", "n_bytes", "shard_id", "shard_bytes", F.lit(found["version"]).alias("version"))  # a shard a row, of 64 MB and more mostly
+    return rows.join(shards, shard_store.SHARD).select("doc_id", "n_bytes", "shard_id", "shard_bytes", F.lit(found["version"]).alias("version"))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

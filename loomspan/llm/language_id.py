@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import pandas as pd
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of sample text in a language's dictionary, and the texts it is gathered from.
@@ -57,37 +57,40 @@ def plain(text: str) -> bytes:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Column | None = None) -> Model:
     """Dictionaries from the labelled rows with a non-null language and a text.
 
-    Of each language about SAMPLE_ROWS rows are read, those with the smallest
-    hash of `order` (of the text if null), and of each SAMPLE_CHARS
-    characters: the bounded sample of labelled rows the classifier is fitted
-    on.  Every language is learned; if their dictionaries may take more than
-    MODEL_BYTES, a ValueError is raised.
+    Of each language SAMPLE_ROWS rows at most are read, those with the
+    smallest hash of `order` and the text, each different one once, and of
+    each SAMPLE_CHARS characters: the bounded sample of labelled rows the
+    classifier is fitted on.  So no more comes to the driver, and every
+    language is learned, whatever `order` repeats or leaves null.  If the
+    dictionaries may take more than MODEL_BYTES, a ValueError is raised.
+    Repeated rows count once; without rows nothing is learned.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    place = F.pmod(F.xxhash64(F.lit(0) if order is None else order, F.col(text)), F.lit(1 << 60))
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.substring(text, 1, SAMPLE_CHARS).alias("t"), place.alias("p"))
     most = MODEL_BYTES // DICT_BYTES
-    counts = {r["l"]: r["n"] for r in rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).limit(most + 1).collect()}
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.approx_count_distinct("p").alias("n")).limit(most + 1).collect()}
     if len(counts) > most:
         raise ValueError(f"more than {most} languages; a model that is sent to every task takes {MODEL_BYTES} bytes")
-    place = F.pmod(F.xxhash64(F.col(text) if order is None else order), F.lit(1 << 30))
     names, found = sorted(counts), {}
     for begin in range(0, len(names), FITTED_AT_ONCE):
-        found |= _samples(rows, {k: counts[k] for k in names[begin : begin + FITTED_AT_ONCE]}, text, lang, place)
+        taken = _sampled(rows, {k: counts[k] for k in names[begin : begin + FITTED_AT_ONCE]}).toPandas().sort_values(["l", "p"])
+        for k, part in taken.groupby("l", sort=True):
+            if sample := b" ".join(dict.fromkeys(map(plain, part["t"])))[:DICT_BYTES]:
+                found[k] = sample
     return Model(tuple(found), tuple(found.values()))
 
 
-def _samples(rows: DataFrame, counts: dict[str, int], text: str, lang: str, place: Column) -> dict[str, bytes]:
-    """Dictionaries of the languages in counts, which has the rows of each."""
+def _sampled(rows: DataFrame, counts: dict[str, int]) -> DataFrame:
+    """l, t, p: of each language in counts, which has about how many different rows there are of each, SAMPLE_ROWS rows at most.
+
+    Twice as many as wanted pass the threshold on the hash, which is far more
+    than chance takes away; repeated ones become one before the rest go.
+    """
     below = F.lit(0)
     for k, n in counts.items():
-        below = F.when(F.col(lang) == k, F.lit(int(min(1.0, SAMPLE_ROWS / n) * (1 << 30)))).otherwise(below)
-    taken = rows.where(place < below).select(F.col(lang).alias("l"), F.substring(text, 1, SAMPLE_CHARS).alias("t"), place.alias("p")).toPandas()
-    taken = taken.sort_values(["l", "p", "t"])
-    found = {}
-    for k, part in taken.groupby("l", sort=True):
-        sample = b" ".join(dict.fromkeys(map(plain, part["t"].iloc[: 2 * SAMPLE_ROWS])))[:DICT_BYTES]
-        if sample:
-            found[k] = sample
-    return found
+        below = F.when(F.col("l") == k, F.lit(int(min(1.0, 2 * SAMPLE_ROWS / max(n, 1)) * (1 << 60)))).otherwise(below)
+    several = rows.where(F.col("p") < below).groupBy("l", "p").agg(F.min("t").alias("t"))
+    return several.withColumn("i", F.row_number().over(Window.partitionBy("l").orderBy("p"))).where(F.col("i") <= SAMPLE_ROWS).drop("i")
 
 
 def coders(model: Model) -> list[list[zstandard.ZstdCompressor]]:
@@ -127,7 +130,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Only the text decides.  A null text and one without a letter get "und",
     score 0 and are rejected; so does any text if nothing was learned.  If
     sizes tie, the language first by name is named and the answer is rejected
-    for its margin of 0.  Columns of these three names are replaced.
+    for its margin of 0.  A text of any length is judged whole, repeated
+    rows each for themselves, and an empty table gives an empty result.
+    Columns of these three names are replaced, others kept.
     """
     keep = docs.drop("lang_pred", "lang_score", "lang_rejected")
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -138,8 +143,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pd.DataFrame([classify(t if isinstance(t, str) else None, languages, levels) for t in s], columns=["lang", "score", "rejected"])
 
     judge = F.pandas_udf(run, "lang string, score double, rejected boolean")
-    out = keep.withColumn("_judged", judge(F.col(text)))
-    return out.withColumns({"lang_pred": F.col("_judged.lang"), "lang_score": F.col("_judged.score"), "lang_rejected": F.col("_judged.rejected")}).drop("_judged")
+    out = keep.withColumn("_loomspan_judged", judge(F.col(text)))
+    return out.withColumns({"lang_pred": F.col("_loomspan_judged.lang"), "lang_score": F.col("_loomspan_judged.score"), "lang_rejected": F.col("_loomspan_judged.rejected")}).drop("_loomspan_judged")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import batches
+from .frames import batches, fixed, keep, row_tag, tagged
 from .texthash import U, mix, sequence_hashes, word_hashes
 
 EDITS_PER = 5
@@ -126,6 +126,7 @@ class Items:
     ids: list = field(default_factory=list)
     words: list[np.ndarray] = field(default_factory=list)
     walks: dict[int, int] = field(default_factory=dict)
+    recall: dict[int, float] = field(default_factory=dict)  # by size: share of edited copies met at fitting; 1 where found exactly
     by_bucket: dict[int, dict[int, list[int]]] = field(default_factory=dict)  # by size: item by bucket
     pieces: dict[int, list[tuple[int, int]]] = field(default_factory=dict)  # by hash: (size, place in item)
     known: np.ndarray = field(default_factory=lambda: np.zeros(1 << _FILTER_BITS, bool))
@@ -146,7 +147,7 @@ def fit(ids: list, texts: list[str | None]) -> Items:
     pieces, exact = defaultdict(set), []
     for m, mine in sizes.items():
         rows = np.stack([out.words[i] for i in mine])
-        walks = _walks(rows, m) if m >= WALKED_WORDS else None
+        walks, out.recall[m] = _walks(rows, m) if m >= WALKED_WORDS else (None, 1.0)
         if walks is None:
             exact += mine
             continue
@@ -184,8 +185,8 @@ def _runs(words: list[np.ndarray], exact: list[int]) -> dict[int, tuple[np.ndarr
     return out
 
 
-def _walks(rows: np.ndarray, m: int) -> int | None:
-    """Twice the walks that bring edited copies of these items to the target recall; None if that is more than MOST_WALKS."""
+def _walks(rows: np.ndarray, m: int) -> tuple[int | None, float]:
+    """(twice the walks that bring edited copies of these items to the target recall, the share that all of them meet); (None, 1) if that is more than MOST_WALKS."""
     draw = np.random.default_rng(m)
     of = draw.integers(0, len(rows), TRIALS)
     edited = []
@@ -200,8 +201,10 @@ def _walks(rows: np.ndarray, m: int) -> int | None:
     for t in range(MOST_WALKS // 2):
         met |= (buckets(edited, t) == buckets(rows[of], t)).any(1)
         if met.mean() >= TARGET_RECALL:
-            return 2 * (t + 1)
-    return None
+            for more in range(t + 1, 2 * (t + 1)):
+                met |= (buckets(edited, more) == buckets(rows[of], more)).any(1)
+            return 2 * (t + 1), float(met.mean())
+    return None, 1.0
 
 
 def look(texts: list[bytes], items: Items) -> list[dict[int, tuple[int, int]]]:
@@ -299,19 +302,36 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     """docs with the column FOUND added: array of (item string, distance int, stop int: the word behind the passage), sorted by item.
 
     Null texts and items have no words.  Items without words are not looked
-    for; equal items are each found.  An empty benchmark finds nothing.
+    for; equal items are each found.  Texts and items of any length are
+    looked at whole; of passages that tie, the first counts; repeated rows
+    are each judged.  An empty benchmark finds nothing, and an empty table
+    gives an empty result.  A column FOUND is replaced, others kept.
+
+    Each block of items is one reading of docs, and its items are let go
+    before the next, so what tasks hold is bounded by a block.
     """
+    docs = docs.drop(FOUND)
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("t is not null")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    out, parts = docs, []
-    for block in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("t", "i"), F.lit(blocks)) == block).orderBy("i", "t").collect()
-        sent = docs.sparkSession.sparkContext.broadcast(fit([r["i"] for r in mine], [r["t"] for r in mine]))
-
-        parts.append(f"_loomspan_found{block}")
-        out = out.withColumn(parts[-1], _finder(sent)(F.col(text)))
-    return out.withColumn(FOUND, F.concat(*parts)).drop(*parts)
+
+    def block(k: int):
+        mine = items.where(F.pmod(F.xxhash64("t", "i"), F.lit(blocks)) == k).orderBy("i", "t").collect()
+        return docs.sparkSession.sparkContext.broadcast(fit([r["i"] for r in mine], [r["t"] for r in mine]))
+
+    if blocks == 1:
+        return docs.withColumn(FOUND, _finder(block(0))(F.col(text)))
+    docs, hits = fixed(docs), None
+    texts = tagged(docs.select(F.col(text).alias("text")))
+    for k in range(blocks):
+        sent = block(k)
+        one = keep(texts.select("row_tag", _finder(sent)("text").alias("hits")).where(F.size("hits") > 0))
+        sent.destroy()
+        hits = one if hits is None else hits.unionByName(one)
+    every = hits.groupBy("row_tag").agg(F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"))
+    tag = f"{FOUND}_tag"
+    joined = docs.withColumn(tag, row_tag(docs.sparkSession)).join(every.withColumnsRenamed({"row_tag": tag, "hits": FOUND}), tag, "left").drop(tag)
+    return joined.withColumn(FOUND, F.coalesce(FOUND, F.array().cast(dict(every.dtypes)["hits"])))
 
 
 def _finder(sent):

@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import batches, fixed, keep, row_tag, tagged
+from .frames import batches, fixed, keep, row_tag, tagged, unused
 from .texthash import U, mix, sequence_hashes, word_hashes
 
 EDITS_PER = 5
@@ -329,7 +329,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
         sent.destroy()
         hits = one if hits is None else hits.unionByName(one)
     every = hits.groupBy("row_tag").agg(F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"))
-    tag = f"{FOUND}_tag"
+    tag = unused(docs, "tag")
     joined = docs.withColumn(tag, row_tag(docs.sparkSession)).join(every.withColumnsRenamed({"row_tag": tag, "hits": FOUND}), tag, "left").drop(tag)
     return joined.withColumn(FOUND, F.coalesce(FOUND, F.array().cast(dict(every.dtypes)["hits"])))
 

@@ -46,6 +46,14 @@ def row_tag(spark: SparkSession) -> Column:
     return F.monotonically_increasing_id()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or one made of it, that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fixed(docs: DataFrame) -> DataFrame:
     """docs itself if its rows come alike and in the same splits each time: a plain read of files; else a copy in the shared folder."""
     plan = docs._jdf.queryExecution().optimizedPlan()

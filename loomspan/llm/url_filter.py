@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import ascii_lower, cut
+from .frames import ascii_lower, cut, unused
 
 #: Bits a key in levels after the first, and its places among them.
 BITS_PER_KEY = 12
@@ -175,5 +175,6 @@ def url_filter(pages: DataFrame, rules: list[Rule], default: str = "allow", url:
             answer = F.when(cascade.holds(k), F.lit(verdict)).otherwise(answer)
         return F.struct(k.alias("rule"), answer.alias("verdict"))
 
-    out = parts.withColumn("_loomspan_hit", F.get(F.filter(F.transform(keys, judged), lambda h: h["verdict"].isNotNull()), 0))
-    return out.withColumns({"rule": F.col("_loomspan_hit.rule"), "verdict": F.coalesce("_loomspan_hit.verdict", F.lit(default))}).drop("_loomspan_hit")
+    hit = unused(parts, "hit")
+    out = parts.withColumn(hit, F.get(F.filter(F.transform(keys, judged), lambda h: h["verdict"].isNotNull()), 0))
+    return out.withColumns({"rule": F.col(hit + ".rule"), "verdict": F.coalesce(hit + ".verdict", F.lit(default))}).drop(hit)

@@ -6,9 +6,10 @@ survives that by the digest of the whole text.  Rows that fall out at any
 step are alone and need no further comparison.
 
 Lengths and first characters are counted in one reading.  The second reading
-goes to the whole texts of surviving groups only: a sieve of those groups,
+goes to the whole texts of surviving groups only: a sieve of those rows,
 tested where the text is read, lets few others through, so texts never move
-between executors and few are digested in vain.  Every grouping adds up
+between executors and few are digested in vain (with more than the sieve can hold,
+all are digested and the join alone decides).  Every grouping adds up
 before it shuffles, so a text that a third of all rows share costs one row
 per task; steps that join on a length are dealt out by the first characters
 too.
@@ -52,10 +53,9 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     heads = cut(keys.groupBy("length", "head").agg(F.count("*").alias("n")))
     step1 = heads.groupBy("length").agg(F.sum("n").alias("all")).where("all > 1").select("length", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
     step2 = heads.withColumn("part", F.pmod("head", F.lit(PARTS)).cast("int")).join(step1, ["length", "part"], "left_semi").where("n > 1")
-    step2 = cut(step2.select("length", "head", F.xxhash64("length", "head").alias("id")))
-    read = whole.select("doc_id", "row_tag", "whole", length, head).withColumn("id", F.xxhash64("length", "head")).where(sieve(step2, "id"))
-    full = read.select("doc_id", "row_tag", "length", "head", F.unhex(F.sha2("whole", 256)).alias("sha"))
-    left = keep(full.join(step2.select("length", "head"), ["length", "head"], "left_semi"))
+    left = cut(keys.join(step2.select("length", "head"), ["length", "head"], "left_semi"))
+    read = rows.select("row_tag", "text").where(sieve(left, "row_tag")).select("row_tag", F.unhex(digest(F.col("text"))).alias("sha"))
+    left = keep(left.join(read, "row_tag"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row_tag").alias("tag"))).alias("first")
     groups = cut(left.groupBy("length", "head", "sha").agg(F.count("*").alias("n"), first).where("n > 1"))
     found = left.select("row_tag", "length", "head", "sha").join(groups, ["length", "head", "sha"]).select("row_tag", "n", "first")

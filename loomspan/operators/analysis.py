@@ -103,8 +103,9 @@ def smoothed(df: DataFrame, value: str, by: Sequence[str], order: str = "bin", s
 
 
 def venn3(rows: DataFrame, sets: Sequence[str], svtype: str = "ALL") -> DataFrame:
-    """region (100 ... 111), n, pct_detected, pct_truth: distinct true records found by exactly those of three input sets.
+    """region (100 ... 111), n, detected, truth, pct_detected, pct_truth, pct_1, pct_2, pct_3: distinct true records found by exactly those of three input sets.
 
+    pct_k: the region's share of all that set k found, null if the set isn't in the region.
     Total truth is what any set found plus what the first set missed.
     """
     if len(sets) != 3:
@@ -120,7 +121,10 @@ def venn3(rows: DataFrame, sets: Sequence[str], svtype: str = "ALL") -> DataFram
     regions = rows.sparkSession.range(1, 8).select(F.col("id").cast("int").alias("mask"))
     share = lambda part, whole: F.when(F.col(whole) > 0, F.col(part) * 100.0 / F.col(whole)).otherwise(0.0)
     out = regions.join(best, "mask", "left").fillna(0, ["n"]).join(F.broadcast(totals))  # 7 rows and one
-    return out.select(F.lpad(F.bin("mask"), 3, "0").alias("region"), "n", "detected", "truth", share("n", "detected").alias("pct_detected"), share("n", "truth").alias("pct_truth"))
+    found = best.agg(*(F.coalesce(F.sum(F.when(F.col("mask").bitwiseAND(b) > 0, F.col("n"))), F.lit(0)).alias(f"found_{k}") for k, b in ((1, 4), (2, 2), (3, 1))))
+    out = out.join(F.broadcast(found))  # 7 rows and one
+    of = [F.when(F.col("mask").bitwiseAND(b) > 0, share("n", f"found_{k}")).alias(f"pct_{k}") for k, b in ((1, 4), (2, 2), (3, 1))]
+    return out.select(F.lpad(F.bin("mask"), 3, "0").alias("region"), "n", "detected", "truth", share("n", "detected").alias("pct_detected"), share("n", "truth").alias("pct_truth"), *of)
 
 
 def venn3_methods(rows: DataFrame, sets: Sequence[str], svtype: str = "ALL") -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from .intervals import merge
 
 
-def common_samples(truth: DataFrame) -> DataFrame:
-    """sample: those that every benchmark has."""
-    n = truth.select("bench").distinct().count()
-    return truth.groupBy("sample").agg(F.count_distinct("bench").alias("_n")).where(F.col("_n") == n).select("sample")
+def common_samples(headers: DataFrame) -> DataFrame:
+    """sample: those that every benchmark's header names, whether it has records of them or not; headers has bench and sample."""
+    n = headers.select("bench").distinct().count()
+    return headers.groupBy("sample").agg(F.count_distinct("bench").alias("_n")).where(F.col("_n") == n).select("sample")
 
 
 def truth_counts(truth: DataFrame) -> DataFrame:

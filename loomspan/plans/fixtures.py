@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHROMOSOMES = 22
 
+# the caller delly has nothing for S8
 CALLS = """
-select concat('S', cast(l_orderkey % 8 as {string})) as sample,
-  case l_linenumber % 3 when 0 then 'cnvpytor' when 1 then 'delly' else 'gatk' end as tool,
+select concat('S', cast(l_orderkey % 9 as {string})) as sample,
+  case when l_linenumber % 3 = 0 then 'cnvpytor' when l_linenumber % 3 = 1 and l_orderkey % 9 <> 8 then 'delly' else 'gatk' end as tool,
   concat('chr', cast(l_suppkey % 22 + 1 as {string})) as chrom,
   l_partkey * 5000 + (l_orderkey % 7) * 300 as cstart,
   l_partkey * 5000 + (l_orderkey % 7) * 300 + cast(floor(l_quantity * l_quantity * 200) as bigint) as cend,
@@ -21,7 +22,12 @@ select concat('S', cast(o_orderkey % 8 as {string})) as sample, o_orderstatus as
   (o_orderkey % 2000) * 5000 as cstart,
   (o_orderkey % 2000) * 5000 + cast(floor(o_totalprice / 4) as bigint) as cend,
   case when o_orderkey % 3 = 0 then 'DEL' else 'DUP' end as svtype
-from orders
+from orders where not (o_orderstatus = 'P' and o_orderkey % 8 in (3, 5))
+"""
+# samples that the header of each benchmark names; P names S5, of which it has no record, but not S3
+HEADERS = """
+select distinct o_orderstatus as bench, concat('S', cast(o_orderkey % 10 as {string})) as sample
+from orders where not (o_orderstatus = 'P' and o_orderkey % 10 = 3)
 """
 REGIONS = """
 select concat('chr', cast(p_partkey % 22 + 1 as {string})) as chrom, p_partkey * 5000 as cstart,
@@ -53,7 +59,7 @@ select cast(l_orderkey % 50 as bigint) as file_id, l_orderkey * 1000000 + l_part
   cast(l_linenumber % 3 - 1 as int) as allele_a, cast(l_partkey % 3 - 1 as int) as allele_b
 from lineitem
 """
-NAMES = {"calls": CALLS, "truth": TRUTH, "regions": REGIONS, "genome": GENOME, "blocks": BLOCKS, "records": RECORDS}
+NAMES = {"calls": CALLS, "truth": TRUTH, "headers": HEADERS, "regions": REGIONS, "genome": GENOME, "blocks": BLOCKS, "records": RECORDS}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

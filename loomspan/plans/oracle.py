@@ -11,9 +11,13 @@ _BASE = {k: v.format(string="varchar") for k, v in NAMES.items()}
 def _merge(name: str, source: str, keys: str, collect: bool) -> str:
     """CTEs that end in `name`: merged intervals of `source`."""
     tools = ", array_to_string(list_sort(list_distinct(flatten(list(src)))), '|') as sources" if collect else ""
-    return f"""{name}_1 as (select *, max(cend) over (partition by {keys}, chrom order by cstart, cend rows between unbounded preceding and 1 preceding) as reach from {source}),
+    same = " and ".join(f"s.{k} = i.{k}" for k in (*keys.split(", "), "chrom"))
+    own = ", ".join(f"i.{k}" for k in keys.split(", "))
+    return f"""{name}_0 as (select distinct {keys}, chrom, cstart, cend from {source}),
+{name}_1 as (select *, max(cend) over (partition by {keys}, chrom order by cstart, cend rows between unbounded preceding and 1 preceding) as reach from {name}_0),
 {name}_2 as (select *, sum(case when cstart <= reach then 0 else 1 end) over (partition by {keys}, chrom order by cstart, cend rows unbounded preceding) as island from {name}_1),
-{name} as (select {keys}, chrom, min(cstart) as cstart, max(cend) as cend{tools} from {name}_2 group by {keys}, chrom, island)"""
+{name}_3 as (select {keys}, chrom, min(cstart) as cstart, max(cend) as cend from {name}_2 group by {keys}, chrom, island),
+{name} as (select {own}, i.chrom, i.cstart, i.cend{tools} from {name}_3 i join {source} s on {same} and s.cstart >= i.cstart and s.cend <= i.cend group by {own}, i.chrom, i.cstart, i.cend)"""
 
 
 _OV = "least({a}.cend, {b}.cend) - greatest({a}.cstart, {b}.cstart)"
@@ -26,13 +30,14 @@ _IDS = "case when classification = 'FP' then pred_chrom else truth_chrom end as
 _CTES = [
     *(f"{k} as ({v})" for k, v in _BASE.items()),
     "untouched as (select * from calls where svtype <> 'NA')",
-    "kept as (select * from untouched c where chrom in (select chrom from genome) and not exists (select 1 from regions r where r.chrom = c.chrom and 2 * (least(c.cend, r.cend) - greatest(c.cstart, r.cstart)) >= c.cend - c.cstart))",
+    "driven as (select * from untouched u where exists (select 1 from untouched d where d.tool = 'delly' and d.sample = u.sample and d.svtype = u.svtype))",
+    "kept as (select * from driven c where chrom in (select chrom from genome) and not exists (select 1 from regions r where r.chrom = c.chrom and 2 * (least(c.cend, r.cend) - greatest(c.cstart, r.cstart)) >= c.cend - c.cstart))",
     f"pairs as (select a.sample, a.svtype, a.chrom, a.tool as a_tool, a.cstart as a_cstart, a.cend as a_cend, b.tool as b_tool, b.cstart as b_cstart, b.cend as b_cend from kept a join kept b on a.sample = b.sample and a.svtype = b.svtype and a.chrom = b.chrom and a.tool < b.tool and {_RECIPROCAL})",
     "clips as (select sample, svtype, chrom, greatest(a_cstart, b_cstart) as cstart, least(a_cend, b_cend) as cend, [a_tool, b_tool] as src from pairs)",
     "wholes as (select sample, svtype, chrom, a_cstart as cstart, a_cend as cend, [a_tool, b_tool] as src from pairs union all select sample, svtype, chrom, b_cstart, b_cend, [a_tool, b_tool] from pairs)",
     _merge("inter", "clips", "sample, svtype", True),
     _merge("unions", "wholes", "sample, svtype", True),
-    "common as (select sample from truth group by sample having count(distinct bench) = (select count(distinct bench) from truth))",
+    "common as (select sample from headers group by sample having count(distinct bench) = (select count(distinct bench) from headers))",
     "truths as (select * from truth where sample in (select sample from common))",
     _merge("merged", "truths", "sample, svtype", False),
     """pred as (select 'intersections' as input_set, * from inter union all select 'unions', * from unions
@@ -64,7 +69,7 @@ _CTES = [
   case when s.new_pos is null or e.new_pos is null then 'unmapped' when u.cend > u.cstart and 10 * abs((e.new_pos - s.new_pos) - (u.cend - u.cstart)) <= u.cend - u.cstart then 'ok' else 'resized' end as status
   from untouched u left join lifts s on s.chrom = u.chrom and s.pos = u.cstart left join lifts e on e.chrom = u.chrom and e.pos = u.cend)""",
     """logs as (select k.sample, k.svtype, b_c as before_cnvpytor, b_d as before_delly, b_g as before_gatk, coalesce(a_c, 0) as after_cnvpytor, coalesce(a_d, 0) as after_delly, coalesce(a_g, 0) as after_gatk, coalesce(cd, 0) as cnvpytor_delly, coalesce(cg, 0) as cnvpytor_gatk, coalesce(dg, 0) as delly_gatk
-  from (select sample, svtype, count(*) filter (where tool = 'cnvpytor') as b_c, count(*) filter (where tool = 'delly') as b_d, count(*) filter (where tool = 'gatk') as b_g from untouched group by all) k
+  from (select sample, svtype, count(*) filter (where tool = 'cnvpytor') as b_c, count(*) filter (where tool = 'delly') as b_d, count(*) filter (where tool = 'gatk') as b_g from driven group by all) k
   left join (select sample, svtype, count(*) filter (where tool = 'cnvpytor') as a_c, count(*) filter (where tool = 'delly') as a_d, count(*) filter (where tool = 'gatk') as a_g from kept group by all) a on a.sample = k.sample and a.svtype = k.svtype
   left join (select sample, svtype, count(*) filter (where a_tool = 'cnvpytor' and b_tool = 'delly') as cd, count(*) filter (where a_tool = 'cnvpytor' and b_tool = 'gatk') as cg, count(*) filter (where a_tool = 'delly') as dg from pairs group by all) p on p.sample = k.sample and p.svtype = k.svtype)""",
     """changes as (select sample, svtype, caller, before, after, before - after as abs_change, case when before > 0 then (before - after) * 100.0 / before end as pct_change from (
@@ -97,16 +102,41 @@ _TRUTH_TYPE = """case when info_svtype is null then 'NA' when contains(upper(inf
  when contains(upper(info_svtype), 'LINE1') or contains(upper(info_svtype), 'ALU') or contains(upper(info_svtype), 'SVA') then 'DUP'
  when contains(upper(info_svtype), 'CNV') and contains(upper(coalesce(record_id, '')), 'DEL') then 'DEL' when contains(upper(info_svtype), 'CNV') and contains(upper(coalesce(record_id, '')), 'DUP') then 'DUP' else 'NA' end"""
 
+_LIMITS = "select file_id as f, case when list_sort(list(rdcn))[cast(floor(count(*) / 2) as int) + 1] < 1.5 then 1.0 else 2.0 end as top from records where chrom in ('chrX', 'chrY', 'X', 'Y') and rdcn is not null group by 1"
+_WAYS = f"""select file_id as f, arg_min(way, (record_no, way)) as method from (select file_id, record_no, alt, i, case when i <> 'NA' then 'info' when a <> 'NA' then 'alt' when rdcn is not null then 'rdcn' else 'info' end as way
+    from (select *, {_CALL_TYPE.format('info_svtype')} as i, {_CALL_TYPE.format("trim(alt, '<>')")} as a from records)) where i <> 'NA' or alt <> '.' group by 1"""
+_SUMS = "count(*) as n, cast(sum(cstart) as bigint) as starts, cast(sum(cend) as bigint) as ends"
+_FIVE = "count({0}) as n, round(quantile_cont({0}, 0.25), 6) as q1, round(quantile_cont({0}, 0.5), 6) as median, round(quantile_cont({0}, 0.75), 6) as q3, round(min({0}), 6) as lowest, round(max({0}), 6) as highest"
+
 _TAIL = {
     "genome_whitelist": "select * from calls where chrom in (select chrom from genome)",
     "svtype_sanitize_calls": f"select distinct record_no, info_svtype, {_CALL_TYPE.format('info_svtype')} as svtype from records",
     "svtype_sanitize_truth": f"select distinct record_no, {_TRUTH_TYPE} as svtype from records",
     "sex_threshold": "select file_id, case when list_sort(list(rdcn))[cast(floor(count(*) / 2) as int) + 1] < 1.5 then 1.0 else 2.0 end as threshold from records where chrom in ('chrX', 'chrY', 'X', 'Y') and rdcn is not null group by file_id",
     "rdcn_svtype": f"select distinct record_no, {_RDCN.format('1.0')} as svtype from records",
-    "svtype_method_dispatch": f"""select file_id, method, case method when 'alt' then a when 'rdcn' then {_RDCN.format('2.0')} else i end as svtype, count(*) as n from (
+    "svtype_method_dispatch": f"""select file_id, method, case method when 'alt' then a when 'rdcn' then {_RDCN.format('coalesce(top, 2.0)')} else i end as svtype, count(*) as n from (
   select *, {_CALL_TYPE.format('info_svtype')} as i, {_CALL_TYPE.format("trim(alt, '<>')")} as a from records) r
   join (select file_id as f, arg_min(way, (record_no, way)) as method from (select file_id, record_no, alt, i, case when i <> 'NA' then 'info' when a <> 'NA' then 'alt' when rdcn is not null then 'rdcn' else 'info' end as way
-    from (select *, {_CALL_TYPE.format('info_svtype')} as i, {_CALL_TYPE.format("trim(alt, '<>')")} as a from records)) where i <> 'NA' or alt <> '.' group by 1) w on w.f = r.file_id where alt <> '.' group by all""",
+    from (select *, {_CALL_TYPE.format('info_svtype')} as i, {_CALL_TYPE.format("trim(alt, '<>')")} as a from records)) where i <> 'NA' or alt <> '.' group by 1) w on w.f = r.file_id left join ({_LIMITS}) l on l.f = r.file_id where alt <> '.' group by file_id, method, 3""",
+    "vcf_calls_scan": f"""select cast(file_id as varchar) as sample, chrom, svtype, {_SUMS} from (select file_id, chrom, pos - 1 as cstart, coalesce(try_cast(info_end as bigint), pos) as cend,
+  case method when 'alt' then a when 'rdcn' then {_RDCN.format('coalesce(top, 2.0)')} else i end as svtype
+  from (select *, {_CALL_TYPE.format('info_svtype')} as i, {_CALL_TYPE.format("trim(alt, '<>')")} as a from records) r join ({_WAYS}) w on w.f = r.file_id left join ({_LIMITS}) l on l.f = r.file_id where alt <> '.') group by file_id, chrom, svtype""",
+    "vcf_truth_scan": f"""select 'F' || file_id as sample, c as chrom, svtype, allele_a || '/' || allele_b as genotype, coalesce(record_id, '.') as id, {_SUMS} from (
+  select *, case when starts_with(chrom, 'chr') then chrom else 'chr' || chrom end as c, pos - 1 as cstart, coalesce(try_cast(info_end as bigint), pos + abs(try_cast(info_svlen as bigint))) as cend, {_TRUTH_TYPE} as svtype from records where alt <> '.')
+  where c in (select chrom from genome) and svtype <> 'NA' and cend is not null and (allele_a <> 0 or allele_b <> 0) group by file_id, c, svtype, allele_a, allele_b, record_id""",
+    "vcf_header_samples": "select distinct 'F' || file_id as sample from records",
+    "array_calls_scan": f"""select 'S' || file_id as sample, chrom, svtype, {_SUMS} from (select file_id, chrom, pos as cstart, pos + 70 as cend, case when floor(rdcn) <= 1 then 'DEL' when floor(rdcn) >= 3 then 'DUP' end as svtype from records where rdcn is not null and starts_with(chrom, 'chr'))
+  where svtype is not null group by file_id, chrom, svtype""",
+    "chain_scan": """select chain_id, score, chrom, block_start, block_start + 40000 as block_end, 'q' || chrom as new_chrom, new_start, new_strand, new_length from blocks
+  union all select chain_id, score, chrom, block_start + 40010, block_end, 'q' || chrom, new_start + 40020, new_strand, new_length from blocks""",
+    "bed_roundtrip": "select tool, sample, chrom, cstart, cend, svtype from driven",
+    "classified_roundtrip": "select classification, input_set, sample, svtype, pred_chrom, pred_start, pred_end, sources, truth_chrom, truth_start, truth_end, pred_size, truth_size from cls",
+    "log_roundtrip": "select * from logs",
+    "genome_scan": "select chrom, length, cast(row_number() over (order by ord) as int) as place from genome",
+    "venn3_shares": "select right('000' || bin(m), 3) as region, case when m & 4 > 0 then round(n * 100.0 / a, 6) end as pct_1, case when m & 2 > 0 then round(n * 100.0 / b, 6) end as pct_2, case when m & 1 > 0 then round(n * 100.0 / c, 6) end as pct_3 from (select m, (select count(*) from venn where mask = m) as n, (select count(*) from venn where mask & 4 > 0) as a, (select count(*) from venn where mask & 2 > 0) as b, (select count(*) from venn where mask & 1 > 0) as c from range(1, 8) r(m))",
+    "benchmark_sizes": "select 'benchmark' as source, svtype, truth_size as size, count(*) as n from bounded where classification <> 'FP' and input_set = 'intersections' group by svtype, truth_size",
+    "excluded_abs_change_box": f"select caller, {_FIVE.format('abs_change')} from changes group by caller",
+    "liftover_box": f"select svtype, {_FIVE.format('pct')} from (select sample, svtype, count(*) filter (where status = 'ok') * 100.0 / count(*) as pct from lifted group by all) group by svtype",
     "penncnv_cn_svtype": "select cast(floor(rdcn) as int) as cn, case when floor(rdcn) <= 1 then 'DEL' else 'DUP' end as svtype, count(*) as n from records where rdcn is not null and floor(rdcn) <> 2 group by all",
     "genotype_carrier": "select allele_a || '/' || allele_b as genotype, allele_a <> 0 or allele_b <> 0 as carrier, allele_a > 0 or allele_b > 0 as carrier_strict, count(*) as n from records group by all",
     "end_fallback": "select distinct record_no, coalesce(try_cast(info_end as bigint), pos) as call_end, coalesce(try_cast(info_end as bigint), pos + abs(try_cast(info_svlen as bigint))) as truth_end from records",

@@ -1,6 +1,8 @@
 """The whole run from a YAML file: calls, consensus, control, liftover, truth, classification and analysis tables.
 
-    python -m loomspan CONFIG        (or --config CONFIG)
+    python -m loomspan CONFIG                (or --config CONFIG)
+    python -m loomspan analyse CONFIG        the analysis tables again, from what a run has written
+    python -m loomspan summary CONFIG        its counts and scores by size class, printed too
 
 Keys: output_dir; input: {set: {tool: path pattern}}, at least cnvpytor, delly
 and gatk; benchmark_map: {name: path}; and as wanted genome_file,
@@ -26,6 +28,7 @@ from ..sources import tables, vcf
 
 REQUIRED_TOOLS = {"cnvpytor", "delly", "gatk"}
 POINTS = 100
+STEPS = ("run", "analyse", "summary")
 
 
 def load_config(path: str) -> dict:
@@ -37,9 +40,13 @@ def load_config(path: str) -> dict:
 
 def parse_args(argv: Sequence[str] | None = None) -> argparse.Namespace:
     p = argparse.ArgumentParser(description=__doc__.splitlines()[0])
-    p.add_argument("config_file", nargs="?")
+    p.add_argument("words", nargs="*", metavar="[run|analyse|summary] CONFIG")
     p.add_argument("--config", "-c")
     args = p.parse_args(argv)
+    args.step = args.words.pop(0) if args.words and args.words[0] in STEPS else "run"
+    args.config_file = args.words.pop(0) if args.words else None
+    if args.words:
+        p.error(f"not understood: {' '.join(args.words)}")
     args.config = args.config or args.config_file
     if not args.config:
         p.error("a configuration file is needed")
@@ -81,9 +88,10 @@ class Pipeline:
     def consensus(self, calls: DataFrame) -> DataFrame:
         """input_set (<set>_intersections, <set>_unions), sample, svtype, chrom, cstart, cend, sources."""
         keys = ("input_set", *consensus.KEYS)
-        kept = staged(consensus.prepared(consensus.driven_by(calls, "delly", keys), self.genome, self.regions))
+        driven = staged(consensus.driven_by(calls, "delly", keys))
+        kept = staged(consensus.prepared(driven, self.genome, self.regions))
         pairs = staged(consensus.tool_pairs(kept, keys))
-        self.logs["consensus"] = consensus.log(calls, kept, pairs, keys)
+        self.logs["consensus"] = consensus.log(driven, kept, pairs, keys)
         return _union([consensus.consensus(pairs, m, keys).withColumn("input_set", F.concat("input_set", F.lit(f"_{m}s"))) for m in ("intersection", "union")])
 
     def control(self, samples: DataFrame) -> DataFrame | None:
@@ -110,12 +118,14 @@ class Pipeline:
         return _union([rest, *parts])
 
     def truth(self) -> DataFrame:
-        parts = []
+        """Merged intervals of the samples that all benchmarks name; a benchmark that is missing ends the run."""
+        parts, heads = [], []
         for name, path in self.config["benchmark_map"].items():
+            heads.append(vcf.samples(self.spark, path).withColumn("bench", F.lit(name)))
             rows = vcf.truth(self._files(path, "{header}"), self.genome)
             parts.append(rows.withColumn("bench", F.lit(name)))
         every = _union(parts)
-        common = staged(every.join(truth.common_samples(every), "sample", "left_semi"))
+        common = staged(every.join(truth.common_samples(_union(heads)), "sample", "left_semi"))
         merged = truth.truth_merged(common)
         self.logs["benchmark"] = truth.merge_log(common, merged)
         return merged
@@ -136,25 +146,52 @@ class Pipeline:
             tables.write_bed(rows.where(F.col("classification") == kind), f"{self.out}/binary_classification/{kind}", kind, ("input_set", "sample", "svtype"))
         for name, log in self.logs.items():
             tables.write_log(log, f"{self.out}/logs/{name}")
-        results = self.analysis(rows)
+        return self.written(self.analysis(rows))
+
+    def written(self, results: dict[str, DataFrame]) -> dict[str, DataFrame]:
         for name, df in results.items():
             df.write.mode("overwrite").parquet(f"{self.out}/analysis/{name}")
         return results
 
+    def load(self) -> DataFrame:
+        """The classified rows of a run that is finished, and its logs."""
+        for name in tables.subfolders(self.spark, f"{self.out}/logs"):
+            self.logs[name] = tables.read_log(self.spark, f"{self.out}/logs/{name}")
+        return staged(tables.read_classified(self.spark, f"{self.out}/binary_classification"))
+
+    def analyse(self) -> dict[str, DataFrame]:
+        """The analysis tables of a run that is finished, written again."""
+        return self.written(self.analysis(self.load()))
+
+    def summary(self) -> dict[str, DataFrame]:
+        """Counts and scores by size class of a run that is finished, written again."""
+        return self.written({"summary": classify.size_classes(self.load())})
+
+    def benchmark_set(self) -> str:
+        """The input set whose true records stand for the benchmark: the first of venn_sets, else that of the first input."""
+        return (self.config.get("venn_sets") or [f"{key(next(iter(self.config['input'])))}_intersections"])[0]
+
     def analysis(self, rows: DataFrame) -> dict[str, DataFrame]:
         within = staged(analysis.in_bounds(classify.shared_samples(rows, self.config.get("shared_samples", "all"))))
         dist = classify.scored(analysis.distributions(within, POINTS))
         out = {"summary": classify.size_classes(rows), "distributions": dist}
         for metric in ("precision", "recall", "f1"):
             out[f"smooth_{metric}"] = analysis.smoothed(dist, metric, ("input_set", "svtype", "dist_type"))
-        sizes = analysis.size_samples(within)
+        sizes = analysis.size_samples(within, self.benchmark_set())
         out |= {"size_histogram": analysis.size_histogram(sizes), "size_kde": analysis.size_kde(sizes)}
         out["source_mix"] = analysis.source_mix(within.where(F.col("input_set").endswith("_intersections")))
         out["source_box"] = analysis.box_stats(out["source_mix"], "percentage", ("input_set", "svtype", "metric", "caller_or_combination"))
         changes = consensus.change_rows(self.logs["consensus"], ("input_set", *consensus.KEYS)) if "consensus" in self.logs else None
         if changes is not None:
             out["excluded_changes"] = consensus.change_means(changes, ("input_set", "caller"))
-            out["excluded_box"] = analysis.box_stats(changes, "pct_change", ("input_set", "caller", "svtype"))
+            for change in ("pct_change", "abs_change"):
+                out[f"excluded_box_{change}"] = analysis.box_stats(changes, change, ("input_set", "caller", "svtype"))
+        if "liftover" in self.logs:
+            lifted = self.logs["liftover"]
+            counts = ("before", "after", "failed_liftover", "failed_size_change")
+            out["liftover_totals"] = lifted.groupBy("input_set").agg(*(F.sum(c).alias(c) for c in counts), (F.sum("after") == 0).alias("all_failed"))
+            for share in ("pct_succeeded", "pct_failed_liftover", "pct_failed_size_change"):
+                out[f"liftover_box_{share}"] = analysis.box_stats(lifted, share, ("input_set", "svtype"))
         sets = self.config.get("venn_sets")
         if sets:
             for kind in analysis.TYPES:
@@ -165,7 +202,10 @@ class Pipeline:
 
 def main(argv: Sequence[str] | None = None) -> None:
     spark = SparkSession.builder.appName("loomspan").getOrCreate()
-    Pipeline(spark, load_config(parse_args(argv).config)).run()
+    args = parse_args(argv)
+    found = getattr(Pipeline(spark, load_config(args.config)), args.step)()
+    if "summary" in found:
+        found["summary"].groupBy("size_class", "input_set", "svtype").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn"))).orderBy("size_class", "input_set", "svtype").show(200, truncate=False)
 
 
 if __name__ == "__main__":

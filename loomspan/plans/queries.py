@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics, svtype
 from ..operators import analysis, classify, consensus, intervals, liftover, truth
-from ..operators.stage import staged
+from ..operators.stage import shared_path, staged
+from ..sources import tables, vcf
 from .fixtures import fixture, table
 
 POINTS = 41
@@ -31,8 +32,11 @@ class Run:
 
     # what several tables are made of is computed once
 
+    def _driven(self):
+        return staged(consensus.driven_by(self.calls.where("svtype <> 'NA'"), "delly"))
+
     def _kept(self):
-        return staged(consensus.prepared(consensus.driven_by(self.calls, "delly"), self.genome, self.regions))
+        return staged(consensus.prepared(self.driven, self.genome, self.regions))
 
     def _pairs(self):
         return staged(consensus.tool_pairs(self.kept))
@@ -44,11 +48,11 @@ class Run:
         return consensus.consensus(self.pairs, "union")
 
     def _merged(self):
-        common = truth.common_samples(self.truth)
+        common = truth.common_samples(self.headers)
         return staged(truth.truth_merged(self.truth.join(common, "sample", "left_semi")))
 
     def _log(self):
-        return consensus.log(self.calls.where("svtype <> 'NA'"), self.kept, self.pairs)
+        return consensus.log(self.driven, self.kept, self.pairs)
 
     def _pred(self):
         gatk = self.kept.where("tool = 'gatk'").select("sample", "svtype", "chrom", "cstart", "cend", F.col("tool").alias("sources"))
@@ -118,12 +122,98 @@ def rdcn_svtype(t):
 
 @query
 def svtype_method_dispatch(t):
-    i, a = svtype.of_call(F.col("info_svtype")), svtype.of_alt(F.col("alt"))
-    rows = t.records.withColumns({"i": i, "a": a, "has_alt": F.col("alt") != "."})
-    way = F.when(F.col("i") != "NA", "info").when(F.col("a") != "NA", "alt").when(F.col("rdcn").isNotNull(), "rdcn").otherwise("info")
-    ways = rows.where((F.col("i") != "NA") | F.col("has_alt")).groupBy("file_id").agg(F.min_by(way, F.struct("record_no", way)).alias("method"))
-    kind = F.when(F.col("method") == "alt", F.col("a")).when(F.col("method") == "rdcn", svtype.of_copy_number(F.col("rdcn"), F.col("chrom"), F.lit(2.0))).otherwise(F.col("i"))
-    return rows.where("has_alt").join(ways, "file_id").groupBy("file_id", "method", kind.alias("svtype")).agg(F.count("*").alias("n"))
+    rows = t.records.select(
+        F.col("file_id").cast("string").alias("path"), F.lit("x").alias("sample"), F.col("record_no").alias("place"), "chrom", "pos", F.col("record_id").alias("id"), "alt",
+        F.concat(F.lit("Q=1;SVTYPE="), "info_svtype").alias("info"), F.when(F.col("rdcn").isNotNull(), "GT:RDCN").otherwise("GT").alias("format"),
+        F.array(F.concat_ws(":", F.lit("0/1"), F.col("rdcn").cast("string"))).alias("calls"),
+    )
+    return vcf.typed(rows).groupBy(F.col("path").cast("long").alias("file_id"), "method", "svtype").agg(F.count("*").alias("n"))
+
+
+# files: what the fixtures say is written as a file of the format and read by its reader
+
+
+def _text(t, rows: DataFrame, line: str, what: str, head: str | None = None) -> str:
+    """A folder file_id=<id> for each file of rows, with the lines that the SQL expression makes, in order of record_no."""
+    path = shared_path(t.spark, what)
+    body = F.expr(f"array_join(transform(array_sort(collect_list(struct(record_no, {line} as line))), x -> x.line), '\\n')")
+    rows.groupBy("file_id").agg(body.alias("value")).select("file_id", F.concat(F.expr(head), "value").alias("value") if head else "value").write.partitionBy("file_id").text(path)
+    return path
+
+
+VCF_LINE = """concat_ws('\\t', chrom, pos, coalesce(record_id, '.'), 'N', alt, '.', 'PASS',
+  coalesce(nullif(concat_ws(';', 'SVTYPE=' || info_svtype, 'END=' || info_end, 'SVLEN=' || info_svlen), ''), '.'), if(rdcn is null, 'GT', 'GT:RDCN'),
+  concat_ws(':', concat_ws('/', if(allele_a < 0, '.', string(allele_a)), if(allele_b < 0, '.', string(allele_b))), cast(rdcn as string)))"""
+VCF_HEAD = "concat('##fileformat=VCFv4.2\\n#CHROM\\tPOS\\tID\\tREF\\tALT\\tQUAL\\tFILTER\\tINFO\\tFORMAT\\tF', file_id, '\\n')"
+
+
+def _vcf(t) -> str:
+    return _text(t, t.records, VCF_LINE, "vcf", VCF_HEAD)
+
+
+@query
+def vcf_calls_scan(t):
+    path = _vcf(t)
+    found = vcf.calls(vcf.read(t.spark, [f"{path}/file_id=*/*.txt"], f"{path}/file_id={{id}}/*.txt"))
+    return found.groupBy("sample", "chrom", "svtype").agg(F.count("*").alias("n"), F.sum("cstart").alias("starts"), F.sum("cend").alias("ends"))
+
+
+@query
+def vcf_truth_scan(t):
+    path = _vcf(t)
+    found = vcf.truth(vcf.read(t.spark, [f"{path}/**/*.txt"], "{header}"), t.genome)
+    return found.groupBy("sample", "chrom", "svtype", "genotype", "id").agg(F.count("*").alias("n"), F.sum("cstart").alias("starts"), F.sum("cend").alias("ends"))
+
+
+@query
+def vcf_header_samples(t):
+    return vcf.samples(t.spark, f"{_vcf(t)}/**/*.txt")
+
+
+@query
+def array_calls_scan(t):
+    line = "concat_ws('  ', chrom || ':' || pos || '-' || (pos + 70), 'numsnp=4', 'state5,cn=' || cast(floor(rdcn) as string), '/data/S' || file_id || '.sig.tsv', 'startsnp=a')"
+    found = tables.read_array_calls(t.spark, f"{_text(t, t.records, line, 'array')}/*/*.txt")
+    return found.groupBy("sample", "chrom", "svtype").agg(F.count("*").alias("n"), F.sum("cstart").alias("starts"), F.sum("cend").alias("ends"))
+
+
+@query
+def chain_scan(t):
+    path = shared_path(t.spark, "chain")
+    lines = "concat(if(chain_id % 100 = 2, '# a note\\n', ''), concat_ws(' ', 'chain', score, chrom, 300000000, '+', block_start, block_end, 'q' || chrom, new_length, new_strand, new_start, new_start + 100010, chain_id), '\\n40000\\t10\\t20\\n', block_end - block_start - 40010, if(chain_id % 3 = 0, '\\n', '\\r\\n'))"
+    t.blocks.selectExpr(f"{lines} as value").write.text(path)
+    return tables.read_chain(t.spark, path)
+
+
+@query
+def bed_roundtrip(t):
+    path = shared_path(t.spark, "bed")
+    tables.write_bed(t.driven, path, "calls", ("tool", "sample"))
+    found = tables.read_bed(t.spark, f"{path}/tool=*/sample=*", "calls")
+    folder = F.regexp_extract("_metadata.file_path", "tool=([^/]+)/sample=([^/]+)/", 1), F.regexp_extract("_metadata.file_path", "tool=([^/]+)/sample=([^/]+)/", 2)
+    return found.select(folder[0].alias("tool"), folder[1].alias("sample"), *PLACE, "svtype")
+
+
+@query
+def classified_roundtrip(t):
+    path = shared_path(t.spark, "classified")
+    for kind in ("TP", "FP", "FN"):
+        tables.write_bed(t.classified.where(F.col("classification") == kind), f"{path}/{kind}", kind, ("input_set", *KEYS))
+    return tables.read_classified(t.spark, path).select("classification", "input_set", *KEYS, "pred_chrom", "pred_start", "pred_end", "sources", "truth_chrom", "truth_start", "truth_end", "pred_size", "truth_size")
+
+
+@query
+def log_roundtrip(t):
+    path = shared_path(t.spark, "log")
+    tables.write_log(t.log, path)
+    return tables.read_log(t.spark, path, ", ".join(f"{n} {k}" for n, k in t.log.dtypes))
+
+
+@query
+def genome_scan(t):
+    path = shared_path(t.spark, "genome")
+    t.genome.selectExpr("ord", "concat_ws('\\t', substring(chrom, 4), length) as value").coalesce(1).sortWithinPartitions("ord").select("value").write.text(path)
+    return tables.read_genome(t.spark, path).select("chrom", "length", F.row_number().over(Window.orderBy("ord")).alias("place"))  # a row a chromosome
 
 
 @query
@@ -237,7 +327,7 @@ def genome_sort(t):
 
 @query
 def common_samples(t):
-    return truth.common_samples(t.truth)
+    return truth.common_samples(t.headers)
 
 
 @query
@@ -381,6 +471,29 @@ def venn3_methods(t):
     return analysis.venn3_methods(t.in_bounds, SETS, "DEL").select("input_set", "n", *_r("pct_detected", "pct_truth"))
 
 
+@query
+def venn3_shares(t):
+    return analysis.venn3(t.in_bounds, SETS).select("region", *_r("pct_1", "pct_2", "pct_3"))
+
+
+@query
+def benchmark_sizes(t):
+    sizes = analysis.size_samples(t.in_bounds, SETS[0]).where("source = 'benchmark'")
+    return sizes.groupBy("source", "svtype", "size").agg(F.count("*").alias("n"))
+
+
+@query
+def excluded_abs_change_box(t):
+    cols = ["q1", "median", "q3", "lowest", "highest"]
+    return analysis.box_stats(consensus.change_rows(t.log), "abs_change", ["caller"]).select("caller", "n", *_r(*cols))
+
+
+@query
+def liftover_box(t):
+    cols = ["q1", "median", "q3", "lowest", "highest"]
+    return analysis.box_stats(liftover.liftover_log(t.lifted), "pct_succeeded", ["svtype"]).select("svtype", "n", *_r(*cols))
+
+
 @query
 def size_histogram_log(t):
     return analysis.size_histogram(t.sizes).select("source", "bin", *_r("lower", "upper", digits=3), "n", *_r("density"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.svtype import of_array_copies, with_chr
@@ -37,6 +37,17 @@ def write_bed(df: DataFrame, path: str, role: str = "regions", by: tuple[str, ..
     df.select(*names, *by).write.mode("overwrite").partitionBy(*by).option("sep", "\t").csv(path)
 
 
+def read_classified(spark: SparkSession, path: str) -> DataFrame:
+    """What write_bed() wrote of the TP, FP and FN rows below a folder, with sizes, as classify() gives them."""
+    parts = []
+    for kind in ("TP", "FP", "FN"):
+        names = [c for c in SCHEMAS[kind].split(", ") if c != "svtype string"]
+        rows = spark.read.schema(", ".join([*names, "input_set string", "sample string", "svtype string"])).option("sep", "\t").csv(f"{path}/{kind}")
+        sizes = {f"{side}_size": F.col(f"{side}_end") - F.col(f"{side}_start") for side in ("pred", "truth") if f"{side}_start long" in names}
+        parts.append(rows.withColumn("classification", F.lit(kind)).withColumns(sizes))
+    return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+
+
 def read_genome(spark: SparkSession, path: str) -> DataFrame:
     """chrom (with chr), length, ord (the file's order; the file is one small split)."""
     rows = spark.read.schema("chrom string, length long").option("sep", "\t").csv(path)
@@ -67,17 +78,16 @@ def read_array_calls(spark: SparkSession, path: str) -> DataFrame:
 
 def read_chain(spark: SparkSession, path: str) -> DataFrame:
     """The aligned blocks of a chain file: chain_id, score, chrom, block_start, block_end, new_chrom, new_start, new_strand, new_length."""
-    text = spark.read.option("lineSep", "\n\n").text(path)
+    text = spark.read.option("lineSep", "\nchain").text(path)  # each row is a chain, mostly without that word
     lines = F.filter(F.split("value", r"\r?\n"), lambda s: (F.trim(s) != "") & ~s.startswith("#"))
-    chains = text.withColumn("l", lines).where((F.size("l") > 0) & F.get("l", 0).startswith("chain"))
-    h = F.split(F.col("l")[0], r"\s+")
-    sizes = F.transform(F.slice("l", 2, F.size("l")), lambda s: F.transform(F.split(F.trim(s), r"\s+"), lambda x: x.cast("long")))
-    step = lambda acc, b: F.struct((acc["t"] + b[0] + F.coalesce(F.get(b, 1), F.lit(0))).alias("t"), (acc["q"] + b[0] + F.coalesce(F.get(b, 2), F.lit(0))).alias("q"), F.array_append(acc["out"], F.struct(acc["t"].alias("t"), acc["q"].alias("q"), b[0].alias("n"))).alias("out"))
-    start = F.struct(h[5].cast("long").alias("t"), h[10].cast("long").alias("q"), F.array().cast("array<struct<t:bigint,q:bigint,n:bigint>>").alias("out"))
-    blocks = F.aggregate(sizes, start, step, lambda acc: acc["out"])
-    return chains.select(h[12].cast("long").alias("chain_id"), h[1].cast("long").alias("score"), h[2].alias("chrom"), h[7].alias("new_chrom"), h[9].alias("new_strand"), h[8].cast("long").alias("new_length"), F.explode(blocks).alias("b")).select(
-        "chain_id", "score", "chrom", F.col("b.t").alias("block_start"), (F.col("b.t") + F.col("b.n")).alias("block_end"), "new_chrom", F.col("b.q").alias("new_start"), "new_strand", "new_length"
-    )
+    chains = text.where(F.col("value").startswith(" ") | F.col("value").startswith("chain ")).select(F.monotonically_increasing_id().alias("place"), lines.alias("l"))
+    h = F.split(F.regexp_replace(F.trim(F.col("l")[0]), "^chain +", ""), r"\s+")
+    head = [h[11].cast("long").alias("chain_id"), h[0].cast("long").alias("score"), h[1].alias("chrom"), h[4].cast("long").alias("t"), h[6].alias("new_chrom"), h[7].cast("long").alias("new_length"), h[8].alias("new_strand"), h[9].cast("long").alias("q")]
+    each = chains.select("place", *head, F.posexplode(F.slice("l", 2, F.size("l"))).alias("i", "line")).withColumn("s", F.split(F.trim("line"), r"\s+"))
+    step = lambda n: F.col("s")[0].cast("long") + F.coalesce(F.get("s", n).cast("long"), F.lit(0))
+    before = Window.partitionBy("place").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    t, q = (F.col(c) + F.coalesce(F.sum(step(n)).over(before), F.lit(0)) for c, n in (("t", 1), ("q", 2)))
+    return each.select("chain_id", "score", "chrom", t.alias("block_start"), (t + F.col("s")[0].cast("long")).alias("block_end"), "new_chrom", q.alias("new_start"), "new_strand", "new_length")
 
 
 def read_log(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -88,3 +98,10 @@ def read_log(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 def write_log(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder, none if there is no such folder; for the few kinds of logs of a run."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return sorted(s.getPath().getName() for s in files.listStatus(place) if s.isDirectory()) if files.exists(place) else []

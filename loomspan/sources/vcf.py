@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import gzip
 import io
 import re
@@ -35,6 +36,38 @@ def pattern_regex(pattern: str) -> str:
     return out + "$"
 
 
+def files(spark: SparkSession, kind: str, path: str | list[str]) -> DataFrame:
+    """The files at the paths or globs, read as text or binaryFile; ** stands for folders of any depth, none included.
+
+    Spark's globs go one level deep, so a path with ** is read from the folder
+    before its first glob, and files are told by their whole path.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    flat = [p for p in paths if "**" not in p]
+    parts = [spark.read.format(kind).load(flat).withColumn("path", F.col("_metadata.file_path"))] if flat else []
+    for p in (p for p in paths if "**" in p):
+        top, last = re.split(r"[^/]*[*?\[{]", p, maxsplit=1)[0], p.rpartition("/")[2]
+        found = spark.read.format(kind).option("recursiveFileLookup", True).option("pathGlobFilter", last if last != "**" else "*").load(top)
+        pattern = re.escape(p).replace(r"\*\*/", "(?:.*/)?").replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
+        parts.append(found.withColumn("path", F.col("_metadata.file_path")).where(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).rlike(pattern + "$")))
+    content = "value" if kind == "text" else "content"
+    parts = [x.select(content, "path", F.col("_metadata.file_block_start").alias("block")) for x in parts]
+    return parts[0] if len(parts) == 1 else functools.reduce(DataFrame.unionByName, parts)
+
+
+def samples(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """sample: those that the headers of the files name, whether or not they have records."""
+    paths = [path] if isinstance(path, str) else list(path)
+    text, binary = [p for p in paths if not p.endswith(".bcf")], [p for p in paths if p.endswith(".bcf")]
+    parts = []
+    if text:
+        parts.append(files(spark, "text", text).where(F.col("value").startswith("#CHROM")).select(F.explode(F.slice(F.split("value", "\t"), 10, 1 << 20)).alias("sample")))
+    if binary:
+        named = F.pandas_udf(lambda s: s.map(lambda data: _bcf_header(data)[2]), "array<string>")
+        parts.append(files(spark, "binaryFile", binary).select(F.explode(named("content")).alias("sample")))
+    return functools.reduce(DataFrame.unionByName, parts).distinct()
+
+
 def _stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(\.vcf)?(\.[^.]*)$", "")
 
@@ -45,7 +78,7 @@ def read_text(spark: SparkSession, path: str | list[str], pattern: str | None =
     sample is what {id} stands for in the pattern if it has one, else the
     first sample named in the file, else the file's name.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("place"))
+    lines = files(spark, "text", path).select("value", "path", F.struct("block", F.monotonically_increasing_id().alias("row")).alias("place"))
     names = lines.where(F.col("value").startswith("#CHROM")).select("path", F.slice(F.split("value", "\t"), 10, 1 << 20).alias("sample_names"))
     w = F.split("value", "\t")
     rows = lines.where(~F.col("value").startswith("#") & (F.size(w) >= 8)).select("path", "place", w[0].alias("chrom"), w[1].try_cast("long").alias("pos"), w[2].alias("id"), w[4].alias("alt"), w[7].alias("info"), F.get(w, 8).alias("format"), F.slice(w, 10, 1 << 20).alias("calls"))
@@ -73,7 +106,12 @@ def has_alt() -> Column:
 
 
 def calls(vcf: DataFrame) -> DataFrame:
-    """path, sample, chrom, cstart, cend, svtype of each record with an alternative allele.
+    """path, sample, chrom, cstart, cend, svtype of each record with an alternative allele, see typed()."""
+    return typed(vcf).drop("method")
+
+
+def typed(vcf: DataFrame) -> DataFrame:
+    """path, sample, chrom, cstart, cend, svtype, method of each record with an alternative allele.
 
     Which rule gives the type is settled per file by its first telling record:
     INFO's SVTYPE if it is known there, else the symbolic allele, else the copy
@@ -89,7 +127,7 @@ def calls(vcf: DataFrame) -> DataFrame:
     known = rows.where(has_alt()).join(ways, "path").join(limits, "path", "left")
     by_number = rules.of_copy_number(F.col("_rdcn"), F.col("chrom"), F.coalesce("_limit", F.lit(rules.DIPLOID)))
     kind = F.when(F.col("_way") == "alt", F.col("_alt")).when(F.col("_way") == "rdcn", by_number).otherwise(F.col("_info"))
-    return known.select("path", "sample", "chrom", (F.col("pos") - 1).alias("cstart"), rules.call_end(info("END"), F.col("pos")).alias("cend"), kind.alias("svtype"))
+    return known.select("path", "sample", "chrom", (F.col("pos") - 1).alias("cstart"), rules.call_end(info("END"), F.col("pos")).alias("cend"), kind.alias("svtype"), F.col("_way").alias("method"))
 
 
 def alleles(call: Column) -> Column:
@@ -178,6 +216,14 @@ def _genotype(raw) -> str:
     return out or "."
 
 
+def _bcf_header(data: bytes) -> tuple[dict[int, str], dict[int, str], list[str]]:
+    """As _dictionaries(), from the bytes of a BCF file; only its beginning is unpacked."""
+    f = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    if f.read(5)[:4] != b"BCF\2":
+        raise ValueError("not a BCF file")
+    return _dictionaries(f.read(struct.unpack("<I", f.read(4))[0]).decode())
+
+
 def decode_bcf(data: bytes) -> Iterator[tuple]:
     """(chrom, pos, id, alt, info, format, calls, sample names) of each record of a BCF file's bytes."""
     r = _Reader(gzip.GzipFile(fileobj=io.BytesIO(data)).read() if data[:2] == b"\x1f\x8b" else data)
@@ -219,8 +265,7 @@ def read_bcf(spark: SparkSession, path: str | list[str], pattern: str | None = N
                 for i in range(0, len(rows), 10_000):
                     yield pd.DataFrame(rows[i : i + 10_000], columns=["path", "place", "chrom", "pos", "id", "alt", "info", "format", "calls", "sample_names"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return _named(files.mapInPandas(run, f"path string, place struct<block:long,row:long>, {FIELDS}, sample_names array<string>"), pattern)
+    return _named(files(spark, "binaryFile", path).select("path", "content").mapInPandas(run, f"path string, place struct<block:long,row:long>, {FIELDS}, sample_names array<string>"), pattern)
 
 
 

@@ -10,7 +10,7 @@ from loomspan.plans import queries as plans
 
 DIR = "/root/testdata/sf0.001"
 TABLES = ("nation", "part", "orders", "lineitem")
-SOME = ["svtype_sanitize_truth", "excluded_antijoin", "consensus_union", "liftover_size_filter", "interval_complement", "classification_counts", "dist_cumulative", "venn3_regions"]
+SOME = ["svtype_method_dispatch", "vcf_calls_scan", "vcf_truth_scan", "vcf_header_samples", "array_calls_scan", "chain_scan", "bed_roundtrip", "classified_roundtrip", "log_roundtrip", "genome_scan", "venn3_shares", "common_samples", "consensus_log", "svtype_sanitize_truth", "excluded_antijoin", "consensus_union", "liftover_size_filter", "interval_complement", "classification_counts", "dist_cumulative", "venn3_regions"]
 
 
 def test_every_sql_has_a_query():

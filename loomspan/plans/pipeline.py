@@ -156,7 +156,7 @@ class Pipeline:
     def load(self) -> DataFrame:
         """The classified rows of a run that is finished, and its logs."""
         for name in tables.subfolders(self.spark, f"{self.out}/logs"):
-            self.logs[name] = tables.read_log(self.spark, f"{self.out}/logs/{name}")
+            self.logs[name] = tables.read_log(self.spark, f"{self.out}/logs/{name}", lines=True)
         return staged(tables.read_classified(self.spark, f"{self.out}/binary_classification"))
 
     def analyse(self) -> dict[str, DataFrame]:

@@ -90,9 +90,9 @@ def read_chain(spark: SparkSession, path: str) -> DataFrame:
     return each.select("chain_id", "score", "chrom", t.alias("block_start"), (t + F.col("s")[0].cast("long")).alias("block_end"), "new_chrom", q.alias("new_start"), "new_strand", "new_length")
 
 
-def read_log(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """JSON rows, one per line, or with one value over several lines."""
-    reader = spark.read.option("multiLine", schema is None)
+def read_log(spark: SparkSession, path: str, schema: str | None = None, lines: bool = False) -> DataFrame:
+    """JSON rows: one per line if a schema is given or lines is set, as write_log() writes them; else each file is one value over several lines."""
+    reader = spark.read.option("multiLine", schema is None and not lines)
     return (reader.schema(schema) if schema else reader).json(path)
 
 

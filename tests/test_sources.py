@@ -103,6 +103,20 @@ def test_names_and_rules(spark):
 
 def test_arguments():
     assert pipeline.parse_args(["x.yml"]).config == pipeline.parse_args(["--config", "x.yml"]).config == "x.yml"
+    assert [pipeline.parse_args(a).step for a in (["x.yml"], ["run", "x.yml"], ["analyse", "x.yml"], ["summary", "-c", "x.yml"])] == ["run", "run", "analyse", "summary"]
+    with pytest.raises(SystemExit):
+        pipeline.parse_args([])
+
+
+def test_globs_of_any_depth(spark, tmp_path):
+    for name in ("S1.vcf", "a/S2.vcf", "a/b c/S3.vcf", "a/b c/S3.txt"):
+        write(tmp_path / name, HEAD + f"X{name[-5]}\n" + line("chr1", 1, "<DEL>", "SVTYPE=DEL;END=5", "GT", "0/1"))
+    read = lambda p: rows(vcf.read_text(spark, f"{tmp_path}/{p}"), "sample")
+    assert read("**/*.vcf") == [("X1",), ("X2",), ("X3",)]
+    assert read("a/**/S*.vcf") == [("X2",), ("X3",)]
+    assert read("*.vcf") == [("X1",)]
+    assert rows(vcf.samples(spark, f"{tmp_path}/**/*.vcf"), "sample") == [("X1",), ("X2",), ("X3",)]
+    assert rows(vcf.samples(spark, bcf(tmp_path / "x.bcf")), "sample") == [("HG9",)]
 
 
 def test_whole_run(spark, tmp_path):
@@ -110,12 +124,21 @@ def test_whole_run(spark, tmp_path):
         for s in ("S1", "S2"):
             write(tmp_path / f"in/{tool}/{s}.vcf", HEAD + f"{s}\n" + line("chr1", 10001 + shift, "<DEL>", f"SVTYPE=DEL;END={12000 + shift}", "GT", "0/1") + line("chr1", 50001 + shift, "<DUP>", f"SVTYPE=DUP;END={53000 + shift}", "GT", "0/1") + line("chrU", 1, "<DEL>", "SVTYPE=DEL;END=5000", "GT", "0/1"))
     write(tmp_path / "truth.vcf", HEAD + "S1\tS2\n" + line("chr1", 10001, "<DEL>", "SVTYPE=DEL;END=12000", "GT", "0/1", "1/1") + line("chr1", 90001, "<DEL>", "SVTYPE=DEL;END=92000", "GT", "0/1", "0/0"))
+    write(tmp_path / "more.vcf", HEAD + "S2\tS1\tS5\n" + line("chr1", 10001, "<DEL>", "SVTYPE=DEL;END=12000", "GT", "0/0", "0/1", "0/1"))  # no carrier S2, no S5 elsewhere
     write(tmp_path / "genome.txt", "chr1\t1000000\n")
     write(tmp_path / "excluded.bed", "chr1\t50000\t53000\n")
     write(tmp_path / "control.txt", "chr1:10000-12000 a b cn=1 /x/S1.txt\n")
     write(tmp_path / "x.chain", "chain 1 chr1 1000000 + 0 1000000 chr1 1000000 + 0 1000000 1\n1000000\n\n")
-    config = {"output_dir": str(tmp_path / "out"), "analysis": ["summary"], "input": {"my set": {t: f"{tmp_path}/in/{t}/{{id}}.vcf" for t in ("cnvpytor", "delly", "gatk")}}, "benchmark_map": {"a b": str(tmp_path / "truth.vcf")}, "genome_file": str(tmp_path / "genome.txt"), "excluded_regions_file": str(tmp_path / "excluded.bed"), "control": {"Array": str(tmp_path / "control.txt")}, "liftover": {"Array": {"from": "hg19", "to": "hg38", "chain": str(tmp_path / "x.chain")}}}
+    config = {"output_dir": str(tmp_path / "out"), "analysis": ["summary", "distributions", "source_mix", "size_histogram", "excluded_changes", "excluded_box_abs_change", "liftover_totals"], "input": {"my set": {t: f"{tmp_path}/in/{t}/{{id}}.vcf" for t in ("cnvpytor", "delly", "gatk")}}, "benchmark_map": {"a b": str(tmp_path / "truth.vcf"), "c": str(tmp_path / "more.vcf")}, "genome_file": str(tmp_path / "genome.txt"), "excluded_regions_file": str(tmp_path / "excluded.bed"), "control": {"Array": str(tmp_path / "control.txt")}, "liftover": {"Array": {"from": "hg19", "to": "hg38", "chain": str(tmp_path / "x.chain")}}}
     out = pipeline.Pipeline(spark, config).run()
+    assert set(out) == set(config["analysis"])
+    again = pipeline.Pipeline(spark, config)
+    text = lambda df: sorted(json.dumps(r.asDict(), sort_keys=True) for r in df.collect())
+    before = {k: text(df) for k, df in out.items()}
+    after = again.analysis(again.load())
+    assert {k: text(df) for k, df in after.items()} == before
+    assert rows(out["liftover_totals"], "input_set", "before", "after", "all_failed") == [("Array", 1, 1, False)]
+    assert {r["source"] for r in out["size_histogram"].collect()} >= {"benchmark", "Array"}
     whole = out["summary"].where("size_class = 'all'")
     assert rows(whole.where("input_set = 'my_set_intersections'"), "sample", "svtype", "tp", "fp", "fn") == [("S1", "DEL", 1, 0, 1), ("S2", "DEL", 1, 0, 0)]
     assert rows(whole.where("input_set = 'Array'"), "sample", "svtype", "tp", "fp", "fn") == [("S1", "DEL", 1, 0, 1)]

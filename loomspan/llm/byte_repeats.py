@@ -3,7 +3,7 @@
 Windows of `width` bytes are routed to shards by their seed (see repeats.py),
 so equal windows meet.  Each shard builds a suffix array of its blocks by
 Larsson-Sadakane refinement and Kasai's common prefixes; neighbours that
-share `width` bytes and more are repeated.
+share `width` bytes and more are repeated, as is what a block with copies has.
 
 A seed with very many different blocks is dealt out over several shards.
 Each of those hands on the hash of each of its different windows, in order,
@@ -47,22 +47,22 @@ def _batches(frames, text: str = "text"):
 
 
 def _contents(rows: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """seed, block, rivals, content of each block."""
+    """seed, block, rivals, copies, content of each block."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for part, texts in _batches([frame]):
-                out = [(b["seed"], b["block"], b["rivals"], t[b["start"] : b["start"] + b["n"] + width - 1]) for of, t in zip(part["of"], texts, strict=True) for b in of]
-                yield pd.DataFrame(out, columns=["seed", "block", "rivals", "content"])
+                out = [(b["seed"], b["block"], b["rivals"], b["copies"], t[b["start"] : b["start"] + b["n"] + width - 1]) for of, t in zip(part["of"], texts, strict=True) for b in of]
+                yield pd.DataFrame(out, columns=["seed", "block", "rivals", "copies", "content"])
 
-    return repeats.with_text(rows, docs).mapInPandas(run, "seed long, block long, rivals long, content binary")
+    return repeats.with_text(rows, docs).mapInPandas(run, "seed long, block long, rivals long, copies long, content binary")
 
 
-def shard(seeds: np.ndarray, blocks: np.ndarray, salts: np.ndarray, shards: np.ndarray, contents: list[bytes], width: int) -> pd.DataFrame:
+def shard(seeds: np.ndarray, blocks: np.ndarray, salts: np.ndarray, shards: np.ndarray, copies: np.ndarray, contents: list[bytes], width: int) -> pd.DataFrame:
     """The repeated windows of one shard, and of seeds in several shards the hashes of its different windows."""
     s = Strings.of(contents)
     order = suffix_array(s)
-    flags, first = repeated(s, order, common_prefixes(s, order), width)
+    flags, first = repeated(s, order, common_prefixes(s, order), width, copies)
     given: dict[int, list] = {}
     if (shards > 1).any():
         first = np.sort(first[shards[s.owner[first]] > 1])
@@ -86,12 +86,12 @@ def _in_shards(contents: DataFrame, width: int, shard_bytes: int) -> DataFrame:
         held: list[tuple] = []
         size = 0
         for frame in frames:
-            for row in zip(frame["seed"], frame["block"], frame["salt"], frame["shards"], map(bytes, frame["content"]), strict=True):
+            for row in zip(frame["seed"], frame["block"], frame["salt"], frame["shards"], frame["copies"], map(bytes, frame["content"]), strict=True):
                 if size >= shard_bytes and (row[0], row[2]) != (held[-1][0], held[-1][2]):
                     yield _shard_of(held, width)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4])
+                size += len(row[5])
         if held:
             yield _shard_of(held, width)
 
@@ -99,8 +99,8 @@ def _in_shards(contents: DataFrame, width: int, shard_bytes: int) -> DataFrame:
 
 
 def _shard_of(held: list[tuple], width: int) -> pd.DataFrame:
-    seeds, blocks, salts, shards, contents = zip(*held, strict=True)
-    return shard(np.array(seeds, np.int64), np.array(blocks, np.int64), np.array(salts, np.int32), np.array(shards, np.int32), list(contents), width)
+    seeds, blocks, salts, shards, copies, contents = zip(*held, strict=True)
+    return shard(np.array(seeds, np.int64), np.array(blocks, np.int64), np.array(salts, np.int32), np.array(shards, np.int32), np.array(copies, np.int64), list(contents), width)
 
 
 def _merge(shards: DataFrame) -> DataFrame:
@@ -134,11 +134,11 @@ def byte_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     texts = rows.select("row_tag", "text")
     runs = repeats.surviving_runs(texts, _make(width, seed), _batches)
     every = repeats.blocks(runs)
-    contents = _contents(every.where("rivals > 1"), texts, width).withColumn("shards", F.ceil(F.col("rivals") / hot_blocks).cast("int")).withColumn("salt", F.pmod(F.shiftright("block", 16), F.col("shards")).cast("int"))
-    dealt = contents.select("seed", "block", "salt", "shards", "content").repartition("seed", "salt").sortWithinPartitions("seed", "salt")
+    contents = _contents(every.where("rivals > 1 or copies > 1"), texts, width).withColumn("shards", F.ceil(F.col("rivals") / hot_blocks).cast("int")).withColumn("salt", F.pmod(F.shiftright("block", 16), F.col("shards")).cast("int"))
+    dealt = contents.select("seed", "block", "salt", "shards", "copies", "content").repartition("seed", "salt").sortWithinPartitions("seed", "salt")
     shards = keep(_in_shards(dealt, width, shard_bytes))
     found = cut(shards.where(F.size("ranges") > 0).select("seed", "block", "ranges").unionByName(_merge(shards)))
-    marked = rows.join(repeats.spans(runs, found, every, width), "row_tag", "left")
+    marked = rows.join(repeats.spans(runs, found, width), "row_tag", "left")
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,stop:int>>")
     def finish(t: pd.Series, s: pd.Series) -> pd.DataFrame:

@@ -8,10 +8,10 @@ windows of one seed.  Neighbouring windows mostly share the seed's place;
 such a run of windows is one row, and the values it covers are its block.
 
 * runs of a seed that occurs once can't hold a repeated window and go;
-* windows of two equal blocks are all repeated, and a block is then carried
-  on only once;
-* what is left, different blocks of one seed, goes to the operator's own
-  method, which says which windows are repeated.
+* equal blocks are carried on as one, with the number of its copies;
+* what is left, blocks that share a seed with any other or with a copy, goes
+  to the operator's own method, which says which windows are repeated: those
+  met at two places and more, a block's copies counted.
 
 Counts add up before they shuffle, and the joins are equi-joins that Spark
 may split where a seed is in very many texts.  Texts travel twice: to their
@@ -97,21 +97,17 @@ def blocks(runs: DataFrame) -> DataFrame:
 
 
 def with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """text, of: the blocks of each text that has any (array of seed, block, start, n, place, rivals)."""
-    per_text = rows.groupBy("row_tag").agg(F.collect_list(F.struct("seed", "block", "start", "n", "place", "rivals")).alias("of"))
+    """text, of: the blocks of each text that has any (array of seed, block, start, n, place, rivals, copies)."""
+    per_text = rows.groupBy("row_tag").agg(F.collect_list(F.struct("seed", "block", "start", "n", "place", "rivals", "copies")).alias("of"))
     return docs.join(per_text, "row_tag").select("text", "of")
 
 
-def spans(runs: DataFrame, found: DataFrame, all_blocks: DataFrame, width: int) -> DataFrame:
+def spans(runs: DataFrame, found: DataFrame, width: int) -> DataFrame:
     """row_tag, spans: for each text with repeated windows what they cover, as (start, stop) pairs, in no order.
 
-    found: seed, block, ranges (array of first and last repeated window) for
-    blocks that the operator's method looked at.
+    found: seed, block, ranges (array of first and last repeated window).
     """
-    whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("n") - 1).alias("last")))
-    equal = all_blocks.where("copies > 1").select("seed", "block", whole.alias("ranges"))
-    rest = found.join(all_blocks.where("copies = 1"), ["seed", "block"], "left_semi").select("seed", "block", "ranges")
-    hits = runs.select("row_tag", "seed", "block", "start").join(equal.unionByName(rest), ["seed", "block"])
+    hits = runs.select("row_tag", "seed", "block", "start").join(found, ["seed", "block"])
     covered = F.transform("ranges", lambda r: F.struct((F.col("start") + r["first"]).alias("start"), (F.col("start") + r["last"] + width).alias("stop")))
     return hits.select("row_tag", covered.alias("_s")).groupBy("row_tag").agg(F.flatten(F.collect_list("_s")).alias("spans"))
 

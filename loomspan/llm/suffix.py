@@ -108,11 +108,14 @@ def common_prefixes(s: Strings, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated(s: Strings, order: np.ndarray, lcp: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(whether the `width` bytes at each place of data are found at another place too, one place of each different such string)."""
+def repeated(s: Strings, order: np.ndarray, lcp: np.ndarray, width: int, copies: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(whether the `width` bytes at each place of data are found at another place too, one place of each different such string).
+
+    copies: how often each string is there, if not once.
+    """
     long = s.left[order] >= width
     group = np.cumsum(~long | (lcp < width))
-    size = np.bincount(group, weights=long)
+    size = np.bincount(group, weights=long if copies is None else long * copies[s.owner[order]])
     flags = np.zeros(len(order), bool)
     flags[order] = long & (size[group] > 1)
     first = long & np.concatenate([[True], group[1:] != group[:-1]])

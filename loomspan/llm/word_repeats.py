@@ -47,7 +47,7 @@ def _make(width: int, seed: int):
 
 
 def _levels(rows: DataFrame, docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """seed, block, n, place, and for each length l an array h<l> of the hashes of the inner runs that its windows have."""
+    """seed, block, n, place, copies, and for each length l an array h<l> of the hashes of the inner runs that its windows have."""
     steps = lengths(width, seed)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -58,29 +58,31 @@ def _levels(rows: DataFrame, docs: DataFrame, width: int, seed: int) -> DataFram
                 out = []
                 for base, of in zip(offsets, part["of"], strict=False):
                     for b in of:
-                        row = [b["seed"], b["block"], b["n"], b["place"]]
+                        row = [b["seed"], b["block"], b["n"], b["place"], b["copies"]]
                         for length in steps:
                             gap = width - length + 1
                             at = base + b["start"] + np.arange(b["place"] % gap, b["n"] - 1 + gap, gap)
                             row.append(signed(windows(sums, at, at + length)))
                         out.append(row)
-                yield pd.DataFrame(out, columns=["seed", "block", "n", "place", *(f"h{x}" for x in steps)])
+                yield pd.DataFrame(out, columns=["seed", "block", "n", "place", "copies", *(f"h{x}" for x in steps)])
 
-    return repeats.with_text(rows, docs).mapInPandas(run, "seed long, block long, n int, place int, " + ", ".join(f"h{x} array<long>" for x in steps))
+    return repeats.with_text(rows, docs).mapInPandas(run, "seed long, block long, n int, place int, copies long, " + ", ".join(f"h{x} array<long>" for x in steps))
 
 
 def _refine(levels: DataFrame, width: int, seed: int) -> DataFrame:
-    """seed, block, ranges: the repeated windows among those of different blocks of one seed."""
+    """seed, block, ranges: the repeated windows of blocks of one seed, a block with copies being there more than once."""
     now = levels.withColumn("alive", F.sequence(F.lit(0), F.col("n") - 1))
     for length in lengths(width, seed):
         gap = width - length + 1
         number = lambda s: F.floor((s + F.pmod(F.col("place") - s, F.lit(gap)) - F.pmod("place", F.lit(gap))) / gap).cast("int")  # noqa: B023, E731
         now = keep(now.withColumn("runs", F.array_distinct(F.transform("alive", number))))
-        each = now.select("seed", "block", F.explode("runs").alias("run"), f"h{length}").select("seed", "block", "run", F.col(f"h{length}")[F.col("run")].alias("h"))
-        twice = each.groupBy("seed", "h").agg(F.count("*").alias("_c")).where("_c > 1").select("seed", "h")
+        each = now.select("seed", "block", "copies", F.explode("runs").alias("run"), f"h{length}").select("seed", "block", "copies", "run", F.col(f"h{length}")[F.col("run")].alias("h"))
+        twice = each.groupBy("seed", "h").agg(F.sum("copies").alias("_c")).where("_c > 1").select("seed", "h")
         good = each.join(twice, ["seed", "h"], "left_semi").groupBy("seed", "block").agg(F.collect_set("run").alias("good"))
         now = now.drop("runs", f"h{length}").join(good, ["seed", "block"]).withColumn("alive", F.filter("alive", lambda s: F.array_contains("good", number(s)))).drop("good")
-    return now.where(F.size("alive") > 0).select("seed", "block", F.transform("alive", lambda s: F.struct(s.alias("first"), s.alias("last"))).alias("ranges"))
+    edge = lambda step: F.filter("alive", lambda s: ~F.array_contains("alive", s + step))
+    ends = now.where(F.size("alive") > 0).select("seed", "block", edge(-1).alias("first"), edge(1).alias("last"))
+    return ends.select("seed", "block", F.arrays_zip("first", "last").alias("ranges"))
 
 
 def _finish(text: str | None, spans) -> tuple[int, int, str]:
@@ -111,9 +113,9 @@ def word_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     texts = rows.select("row_tag", "text")
     runs = repeats.surviving_runs(texts, _make(width, seed), batches)
     every = repeats.blocks(runs)
-    levels = _levels(every.where("rivals > 1"), texts, width, seed)
+    levels = _levels(every.where("rivals > 1 or copies > 1"), texts, width, seed)
     found = cut(_refine(levels, width, seed))
-    marked = rows.join(repeats.spans(runs, found, every, width), "row_tag", "left")
+    marked = rows.join(repeats.spans(runs, found, width), "row_tag", "left")
 
     @F.pandas_udf("n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,stop:int>>")
     def finish(t: pd.Series, s: pd.Series) -> pd.DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from loomspan.llm.suffix import Strings, common_prefixes, repeated, suffix_array
 
 
@@ -28,3 +30,11 @@ def test_against_sorting():
 def test_empty():
     s = Strings.of([])
     assert len(suffix_array(s)) == len(common_prefixes(s, suffix_array(s))) == 0
+
+
+def test_copies_count_as_places():
+    parts = [b"abcabd", b"xyzzy", b"yzz"]
+    s = Strings.of(parts)
+    order = suffix_array(s)
+    flags, _ = repeated(s, order, common_prefixes(s, order), 3, np.array([2, 1, 1]))
+    assert flags.tolist() == [True] * 4 + [False] * 3 + [True] + [False] * 3 + [True] + [False] * 2

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .frames import batches, cut, keep, signed, tagged
+from .frames import batches, cut, discard, keep, signed, tagged
 from .suffix import Strings, common_prefixes, repeated, search, suffix_array
 from .texthash import U, mix, prefix_sums, windows
 
@@ -137,7 +137,9 @@ def byte_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     contents = _contents(every.where("rivals > 1 or copies > 1"), texts, width).withColumn("shards", F.ceil(F.col("rivals") / hot_blocks).cast("int")).withColumn("salt", F.pmod(F.shiftright("block", 16), F.col("shards")).cast("int"))
     dealt = contents.select("seed", "block", "salt", "shards", "copies", "content").repartition("seed", "salt").sortWithinPartitions("seed", "salt")
     shards = keep(_in_shards(dealt, width, shard_bytes))
+    discard(every)
     found = cut(shards.where(F.size("ranges") > 0).select("seed", "block", "ranges").unionByName(_merge(shards)))
+    discard(shards)
     marked = rows.join(repeats.spans(runs, found, width), "row_tag", "left")
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,stop:int>>")

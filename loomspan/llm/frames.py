@@ -89,7 +89,16 @@ def keep(df: DataFrame) -> DataFrame:
     path = fresh_path(spark, "table")
     df.write.option("compression", "zstd").parquet(path)
     tidy(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loomspan_path = path
+    return out
+
+
+def discard(*kept: DataFrame) -> None:
+    """Delete tables made by keep(); nothing that is still to be computed may read them."""
+    for df in kept:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._loomspan_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Ids up to which a sieve is made, and its bits for each.

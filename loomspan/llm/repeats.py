@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import keep, signed
+from .frames import discard, keep, signed
 from .texthash import U, prefix_sums, windows
 
 _PLACE = U((1 << 24) - 1)
@@ -86,14 +86,18 @@ def surviving_runs(docs: DataFrame, make: Callable[[list[bytes]], dict[str, np.n
 
     runs = docs.mapInPandas(run, "row_tag long, seed long, block long, start int, n int, place int")
     twice = keep(runs.groupBy("seed").agg(F.count("*").alias("_c")).where("_c > 1").select("seed"))  # written, so that the join stands alone and Spark may split a hot seed
-    return keep(runs.join(twice, "seed"))
+    out = keep(runs.join(twice, "seed"))
+    discard(twice)
+    return out
 
 
 def blocks(runs: DataFrame) -> DataFrame:
     """seed, block, n, place, copies, row_tag, start (of one copy), rivals (how many different blocks the seed has)."""
     once = keep(runs.groupBy("seed", "block").agg(F.count("*").alias("copies"), F.min(F.struct("row_tag", "start")).alias("_first"), F.min("n").alias("n"), F.min("place").alias("place")))
     rivals = keep(once.groupBy("seed").agg(F.count("*").alias("rivals")))
-    return keep(once.join(rivals, "seed").select("seed", "block", "n", "place", "copies", "_first.row_tag", "_first.start", "rivals"))
+    out = keep(once.join(rivals, "seed").select("seed", "block", "n", "place", "copies", "_first.row_tag", "_first.start", "rivals"))
+    discard(once, rivals)
+    return out
 
 
 def with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .frames import batches, cut, keep, signed, tagged
+from .frames import batches, cut, discard, keep, signed, tagged
 from .texthash import prefix_sums, windows, word_hashes
 
 WIDTH = 35
@@ -71,18 +71,23 @@ def _levels(rows: DataFrame, docs: DataFrame, width: int, seed: int) -> DataFram
 
 def _refine(levels: DataFrame, width: int, seed: int) -> DataFrame:
     """seed, block, ranges: the repeated windows of blocks of one seed, a block with copies being there more than once."""
-    now = levels.withColumn("alive", F.sequence(F.lit(0), F.col("n") - 1))
+    now, before = levels.withColumn("alive", F.sequence(F.lit(0), F.col("n") - 1)), []
     for length in lengths(width, seed):
         gap = width - length + 1
         number = lambda s: F.floor((s + F.pmod(F.col("place") - s, F.lit(gap)) - F.pmod("place", F.lit(gap))) / gap).cast("int")  # noqa: B023, E731
         now = keep(now.withColumn("runs", F.array_distinct(F.transform("alive", number))))
+        discard(*before)
+        before = [now]
         each = now.select("seed", "block", "copies", F.explode("runs").alias("run"), f"h{length}").select("seed", "block", "copies", "run", F.col(f"h{length}")[F.col("run")].alias("h"))
         twice = each.groupBy("seed", "h").agg(F.sum("copies").alias("_c")).where("_c > 1").select("seed", "h")
-        good = each.join(twice, ["seed", "h"], "left_semi").groupBy("seed", "block").agg(F.collect_set("run").alias("good"))
-        now = now.drop("runs", f"h{length}").join(good, ["seed", "block"]).withColumn("alive", F.filter("alive", lambda s: F.array_contains("good", number(s)))).drop("good")
+        good = each.where("copies = 1").join(twice, ["seed", "h"], "left_semi").groupBy("seed", "block").agg(F.collect_set("run").alias("good"))
+        met = F.filter("alive", lambda s: F.array_contains("good", number(s)))
+        now = now.drop("runs", f"h{length}").join(good, ["seed", "block"], "left").where("copies > 1 or good is not null").withColumn("alive", F.when(F.col("copies") > 1, F.col("alive")).otherwise(met)).drop("good")
     edge = lambda step: F.filter("alive", lambda s: ~F.array_contains("alive", s + step))
     ends = now.where(F.size("alive") > 0).select("seed", "block", edge(-1).alias("first"), edge(1).alias("last"))
-    return ends.select("seed", "block", F.arrays_zip("first", "last").alias("ranges"))
+    out = cut(ends.select("seed", "block", F.arrays_zip("first", "last").alias("ranges")))
+    discard(*before)
+    return out
 
 
 def _finish(text: str | None, spans) -> tuple[int, int, str]:
@@ -114,7 +119,8 @@ def word_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     runs = repeats.surviving_runs(texts, _make(width, seed), batches)
     every = repeats.blocks(runs)
     levels = _levels(every.where("rivals > 1 or copies > 1"), texts, width, seed)
-    found = cut(_refine(levels, width, seed))
+    found = _refine(levels, width, seed)
+    discard(every)
     marked = rows.join(repeats.spans(runs, found, width), "row_tag", "left")
 
     @F.pandas_udf("n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,stop:int>>")

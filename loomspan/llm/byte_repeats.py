@@ -132,7 +132,7 @@ def byte_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     """
     rows = tagged(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     texts = rows.select("row_tag", "text")
-    runs = repeats.surviving_runs(texts, _make(width, seed), _batches)
+    runs = repeats.surviving_runs(texts, _make(width, seed), _batches, write=True)
     every = repeats.blocks(runs)
     contents = _contents(every.where("rivals > 1 or copies > 1"), texts, width).withColumn("shards", F.ceil(F.col("rivals") / hot_blocks).cast("int")).withColumn("salt", F.pmod(F.shiftright("block", 16), F.col("shards")).cast("int"))
     dealt = contents.select("seed", "block", "salt", "shards", "copies", "content").repartition("seed", "salt").sortWithinPartitions("seed", "salt")

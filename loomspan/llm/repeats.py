@@ -76,8 +76,11 @@ def _part_runs(values: np.ndarray, offsets: np.ndarray, at: int, width: int, see
     return {"seed": signed(hashes[place[first]]), "block": signed(windows(sums, begin, end + width)), "start": begin + at, "n": end - begin + 1, "place": place[first] - begin}
 
 
-def surviving_runs(docs: DataFrame, make: Callable[[list[bytes]], dict[str, np.ndarray]], batched: Callable) -> DataFrame:
-    """row_tag, seed, block, start, n, place (of the seed, from the start): the runs of windows whose seed occurs twice and more.  docs has row_tag and text."""
+def surviving_runs(docs: DataFrame, make: Callable[[list[bytes]], dict[str, np.ndarray]], batched: Callable, write: bool = False) -> DataFrame:
+    """row_tag, seed, block, start, n, place (of the seed, from the start): the runs of windows whose seed occurs twice and more.  docs has row_tag and text.
+
+    write: keep all runs until then instead of making them twice; more disk, less time.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, texts in batched(frames):
@@ -85,9 +88,10 @@ def surviving_runs(docs: DataFrame, make: Callable[[list[bytes]], dict[str, np.n
             yield pd.DataFrame({"row_tag": rows["row_tag"].to_numpy()[r["text"]], "seed": r["seed"], "block": r["block"], "start": r["start"].astype(np.int32), "n": r["n"].astype(np.int32), "place": r["place"].astype(np.int32)})
 
     runs = docs.mapInPandas(run, "row_tag long, seed long, block long, start int, n int, place int")
+    runs = keep(runs) if write else runs
     twice = keep(runs.groupBy("seed").agg(F.count("*").alias("_c")).where("_c > 1").select("seed"))  # written, so that the join stands alone and Spark may split a hot seed
     out = keep(runs.join(twice, "seed"))
-    discard(twice)
+    discard(twice, *[runs] * write)
     return out
 
 

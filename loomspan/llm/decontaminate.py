@@ -298,19 +298,19 @@ def _embedded(places: np.ndarray, m: int, words: np.ndarray, padded: np.ndarray,
                 found[i][item] = (d, a + end - int(offsets[i]))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs with the column FOUND added: array of (item string, distance int, stop int: the word behind the passage), sorted by item.
+def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", found: str = FOUND) -> DataFrame:
+    """docs with the column `found` added: array of (item string, distance int, stop int: the word behind the passage), sorted by item.
 
     Null texts and items have no words.  Items without words are not looked
     for; equal items are each found.  Texts and items of any length are
     looked at whole; of passages that tie, the first counts; repeated rows
     are each judged.  An empty benchmark finds nothing, and an empty table
-    gives an empty result.  A column FOUND is replaced, others kept.
+    gives an empty result.  A column of that name is replaced, others kept.
 
     Each block of items is one reading of docs, and its items are let go
     before the next, so what tasks hold is bounded by a block.
     """
-    docs = docs.drop(FOUND)
+    docs = docs.drop(found)
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("t is not null")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
@@ -320,7 +320,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
         return docs.sparkSession.sparkContext.broadcast(fit([r["i"] for r in mine], [r["t"] for r in mine]))
 
     if blocks == 1:
-        return docs.withColumn(FOUND, _finder(block(0))(F.col(text)))
+        return docs.withColumn(found, _finder(block(0))(F.col(text)))
     docs, hits = fixed(docs), None
     texts = tagged(docs.select(F.col(text).alias("text")))
     for k in range(blocks):
@@ -330,8 +330,8 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
         hits = one if hits is None else hits.unionByName(one)
     every = hits.groupBy("row_tag").agg(F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"))
     tag = unused(docs, "tag")
-    joined = docs.withColumn(tag, row_tag(docs.sparkSession)).join(every.withColumnsRenamed({"row_tag": tag, "hits": FOUND}), tag, "left").drop(tag)
-    return joined.withColumn(FOUND, F.coalesce(FOUND, F.array().cast(dict(every.dtypes)["hits"])))
+    joined = docs.withColumn(tag, row_tag(docs.sparkSession)).join(every.withColumnsRenamed({"row_tag": tag, "hits": found}), tag, "left").drop(tag)
+    return joined.withColumn(found, F.coalesce(found, F.array().cast(dict(every.dtypes)["hits"])))
 
 
 def _finder(sent):
@@ -355,4 +355,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without the rows that hold an item; columns stay as they are."""
-    return find(docs, benchmark, text, item_id, item_text).where(F.size(FOUND) == 0).drop(FOUND)
+    found = unused(docs, FOUND)
+    return find(docs, benchmark, text, item_id, item_text, found).where(F.size(found) == 0).drop(found)

@@ -342,7 +342,9 @@ def test_decontamination(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 700)
     clashing = df.withColumn(decontaminate.FOUND, F.lit("x")).withColumn("row_tag", F.lit(3)).repartition(3)
     assert sorted(map(tuple, decontaminate.contaminated(clashing, bench).collect())) == every
-    assert decontaminate.decontaminated(clashing, bench).count() == len(rows) - len({k for k, *_ in every})
+    clean = decontaminate.decontaminated(clashing, bench)
+    assert clean.columns == clashing.columns
+    assert [x[decontaminate.FOUND] for x in clean.collect()] == ["x"] * (len(rows) - len({k for k, *_ in every}))
     made = decontaminate.fit([i for i, _ in items], [x for _, x in items])
     assert made.recall and all(v >= decontaminate.TARGET_RECALL for v in made.recall.values())
 

@@ -33,8 +33,14 @@ def prepared(calls: DataFrame, genome: DataFrame | None, regions: DataFrame | No
 
 
 def tool_pairs(calls: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Pairs of calls of two tools (a_tool < b_tool) that overlap by half of either."""
-    return reciprocal_join(calls, calls, keys, extra=F.col("a_tool") < F.col("b_tool"))
+    """Pairs of calls of two tools (a_tool < b_tool) that overlap by half of either.
+
+    The last tool by name is never on the left and the first never on the
+    right, so their calls aren't dealt out there.  calls is read for the two
+    names first and should be staged.
+    """
+    first, last = calls.agg(F.min("tool"), F.max("tool")).first()
+    return reciprocal_join(calls.where(F.col("tool") < last), calls.where(F.col("tool") > first), keys, extra=F.col("a_tool") < F.col("b_tool"))
 
 
 def _tools():

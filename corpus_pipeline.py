@@ -6,11 +6,14 @@ again, so a lost executor costs no more than tasks of one stage.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import decontaminate, exact_dedup, language_id, ngram_join, packing, queries
-from loomspan.llm.frames import fixed, keep, row_tag, table, unused
+from loomspan.llm.frames import fixed, keep, relieve, row_tag, table, unused
 
 #: No stage but the second can be said in SQL; each, and run(), is tested against a brute-force version in tests/llm/test_pipeline.py.
 ORACLE_SQL = None
@@ -22,6 +25,18 @@ def _kept(docs: DataFrame, tags: DataFrame) -> DataFrame:
     return docs.withColumn(tag, row_tag(docs.sparkSession)).join(tags.select(F.col("row_tag").alias(tag)), tag, "left_semi").drop(tag)
 
 
+def _stage(run: Callable) -> Callable:
+    """run, begun with executors' memory as small as it gets, whatever ran in them before."""
+
+    @functools.wraps(run)
+    def out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        relieve(spark)
+        return run(spark, docs, sf_dir)
+
+    return out
+
+
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; learned from three quarters of the labelled ones, by id.
 
@@ -36,6 +51,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return known.withColumnsRenamed({v: k for k, v in own.items()})
 
 
+@_stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts, that of the smallest doc_id; null and empty texts are one group.
 
@@ -46,6 +62,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _kept(docs, exact_dedup.exact_dedup(docs).where("kept"))
 
 
+@_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of similar texts, that of the smallest doc_id, null last.
 
@@ -60,6 +77,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _kept(docs, ones.unionByName(found.where("class_id is null").select("row_tag")))
 
 
+@_stage
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item.
 
@@ -69,6 +87,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces placed in training sequences: the columns of op5's query.
 

@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import batches, fixed, keep, row_tag, tagged, unused
+from .frames import batches, fixed, keep, lean, row_tag, tagged, unused
 from .texthash import U, mix, sequence_hashes, word_hashes
 
 EDITS_PER = 5
@@ -336,6 +336,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
 
 def _finder(sent):
     @F.pandas_udf("array<struct<item:string,distance:int,stop:int>>")
+    @lean
     def scan(series: pd.Series) -> pd.Series:
         out = []
         for _, texts in batches([series.to_frame("text")], most=1 << 20):

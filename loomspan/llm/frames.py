@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
+import inspect
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +79,70 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def relieve(spark: SparkSession) -> None:
+    """Let executors give memory that finished steps took back to the system; where all runs in one process, tidy() does.
+
+    A heap that a step has stretched stays as large, beside the workers of
+    the next; only a full collection shrinks it.  Costs some tenths of a second.
+    """
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        collect_in_tasks(spark)
+
+
+def collect_in_tasks(spark: SparkSession) -> None:
+    """A full collection wherever tasks run, by as many tasks as run at once; a process that gets none stays as it is."""
+    n = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
+#: What lean() empties: caches made by held().
+_caches: list = []
+
+
+def held(make: Callable) -> Callable:
+    """As functools.cache, for what a worker process keeps between tasks of one step; see lean()."""
+    out = functools.cache(make)
+    _caches.append(out)
+    return out
+
+
+def release() -> None:
+    """Give memory that this process has freed back to the system, which malloc and Arrow else keep."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable, cache: Callable | None = None) -> Callable:
+    """run, which a Python worker calls, with release() at its end and, at its start, nothing held() but in `cache`.
+
+    Workers outlive their tasks, beside the JVM and the workers of later steps.
+    """
+
+    def start() -> None:
+        for c in _caches:
+            if c is not cache:
+                c.cache_clear()
+
+    @functools.wraps(run)
+    def each(*args):
+        start()
+        out = run(*args)
+        release()
+        return out
+
+    @functools.wraps(run)
+    def stream(frames):
+        start()
+        try:
+            yield from run(frames)
+        finally:
+            release()
+
+    return stream if inspect.isgeneratorfunction(run) else each
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that lost executors recompute nothing before it."""
     shared_dir(df.sparkSession)
@@ -89,6 +157,7 @@ def keep(df: DataFrame) -> DataFrame:
     path = fresh_path(spark, "table")
     df.write.option("compression", "zstd").parquet(path)
     tidy(spark)
+    relieve(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomspan_path = path
     return out

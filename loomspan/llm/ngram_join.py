@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected
-from .frames import batches, cut, keep, sieve, signed, tagged
+from .frames import batches, cut, keep, lean, sieve, signed, tagged
 from .texthash import U, mix, sequence_hashes, word_hashes
 
 WIDTH = 5
@@ -120,7 +120,7 @@ def _read(rows: DataFrame, seed: int) -> DataFrame:
                     out.append((len(s), signed(a), signed(b), first, signed(t)))
             yield pd.DataFrame(out, columns=["n", "id", "proof", "first", "tokens"])
 
-    made = F.pandas_udf(run, "n int, id long, proof long, first int, tokens array<long>")
+    made = F.pandas_udf(lean(run), "n int, id long, proof long, first int, tokens array<long>")
     return rows.withColumn("_s", made("text")).select("doc_id", "row_tag", F.col("_s.n").alias("n"), F.col("_s.id").alias("set_id"), "_s.proof", "_s.first", "_s.tokens")
 
 
@@ -211,7 +211,7 @@ def _whole(texts: DataFrame) -> DataFrame:
         for column in series:
             yield pd.Series([signed(s) for _, part in batches([column.to_frame("text")]) for s in shingle_sets(part)], dtype=object)
 
-    made = texts.select("set_id", F.pandas_udf(run, "array<long>")("text").alias("tokens"))
+    made = texts.select("set_id", F.pandas_udf(lean(run), "array<long>")("text").alias("tokens"))
     return made.select("set_id", F.size("tokens").alias("n"), F.size("tokens").alias("first"), "tokens")
 
 
@@ -232,7 +232,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     good.append(similar(last[a], s))
                 yield rows.loc[good, ["a", "b"]]
 
-    return cut(both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long"))
+    return cut(both.select("a", "b", "text_a", "text_b").mapInPandas(lean(run), "a long, b long"))
 
 
 def _enough(shared: Column, n_a: Column, n_b: Column, need_a: Column, need_b: Column) -> Column:

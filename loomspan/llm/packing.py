@@ -19,7 +19,6 @@ hash; no length, however common, meets in one task.
 from __future__ import annotations
 
 import bisect
-import functools
 import os
 import re
 import zlib
@@ -31,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import batches, cut, tagged
+from .frames import batches, cut, held, lean, tagged
 
 CAPACITY = 2048
 END_ID = 0
@@ -99,9 +98,9 @@ class WordTokens:
         return [b"".join(map(ids, words)) for words in split]
 
 
-@functools.cache
+@held
 def word_tokens(path: str) -> WordTokens:
-    """One for a worker process, whatever tasks it gets."""
+    """One for a worker process, whatever packing tasks it gets."""
     return WordTokens(path)
 
 
@@ -124,7 +123,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: st
                 out.append([{"piece": n, "start": n * capacity, "length": len(p) // 4, "ids_crc32": zlib.crc32(p)} for n, p in enumerate(parts)])
             yield pd.Series(out)
 
-    cut_up = F.pandas_udf(run, "array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
+    cut_up = F.pandas_udf(lean(run, word_tokens), "array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
     rows = tagged(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     return rows.select("doc_id", "row_tag", F.explode(cut_up("text")).alias("_p")).select("doc_id", "row_tag", "_p.*")
 

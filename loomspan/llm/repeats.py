@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import discard, keep, signed
+from .frames import discard, keep, lean, signed
 from .texthash import U, prefix_sums, windows
 
 _PLACE = U((1 << 24) - 1)
@@ -87,7 +87,7 @@ def surviving_runs(docs: DataFrame, make: Callable[[list[bytes]], dict[str, np.n
             r = make(texts)
             yield pd.DataFrame({"row_tag": rows["row_tag"].to_numpy()[r["text"]], "seed": r["seed"], "block": r["block"], "start": r["start"].astype(np.int32), "n": r["n"].astype(np.int32), "place": r["place"].astype(np.int32)})
 
-    runs = docs.mapInPandas(run, "row_tag long, seed long, block long, start int, n int, place int")
+    runs = docs.mapInPandas(lean(run), "row_tag long, seed long, block long, start int, n int, place int")
     runs = keep(runs) if write else runs
     twice = keep(runs.groupBy("seed").agg(F.count("*").alias("_c")).where("_c > 1").select("seed"))  # written, so that the join stands alone and Spark may split a hot seed
     out = keep(runs.join(twice, "seed"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .frames import batches, cut, discard, keep, signed, tagged
+from .frames import batches, cut, discard, keep, lean, signed, tagged
 from .texthash import prefix_sums, windows, word_hashes
 
 WIDTH = 35
@@ -66,7 +66,7 @@ def _levels(rows: DataFrame, docs: DataFrame, width: int, seed: int) -> DataFram
                         out.append(row)
                 yield pd.DataFrame(out, columns=["seed", "block", "n", "place", "copies", *(f"h{x}" for x in steps)])
 
-    return repeats.with_text(rows, docs).mapInPandas(run, "seed long, block long, n int, place int, copies long, " + ", ".join(f"h{x} array<long>" for x in steps))
+    return repeats.with_text(rows, docs).mapInPandas(lean(run), "seed long, block long, n int, place int, copies long, " + ", ".join(f"h{x} array<long>" for x in steps))
 
 
 def _refine(levels: DataFrame, width: int, seed: int) -> DataFrame:
@@ -124,6 +124,7 @@ def word_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     marked = rows.join(repeats.spans(runs, found, width), "row_tag", "left")
 
     @F.pandas_udf("n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,stop:int>>")
+    @lean
     def finish(t: pd.Series, s: pd.Series) -> pd.DataFrame:
         out = []
         for x, y in zip(t, s, strict=True):

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomspan.llm import frames, ngram_join, packing, queries
+from loomspan.llm import frames, ngram_join, packing, queries, word_repeats
 
 #: MB of an idle worker with the libraries loaded, and some to spare.
 IDLE = 130
@@ -38,7 +38,7 @@ def large(spark, tmp_path_factory):
     return spark.read.parquet(path)
 
 
-@pytest.mark.parametrize("operator", [ngram_join.near_duplicates])
+@pytest.mark.parametrize("operator", [word_repeats.word_repeats, ngram_join.near_duplicates])
 def test_idle_workers_keep_nothing(spark, large, operator):
     assert operator(large).count() == 8000
     operator(large).write.format("noop").mode("overwrite").save()

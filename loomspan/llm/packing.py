@@ -19,14 +19,17 @@ hash; no length, however common, meets in one task.
 from __future__ import annotations
 
 import bisect
+import itertools
 import os
 import re
+import string
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,17 +48,22 @@ class WordTokens:
 
     The vocabulary's rules drop white space and never join across it, so a
     text's ids are those of its words in a row.  They also ignore case and
-    part letters and digits from what follows, so a word that ends in ASCII
-    letters or digits and one mark has the ids of either in a row.  Its
-    special marks are told in the text as it is, before case is ignored, and
-    end what stands before them.
-
-    Words are remembered in two generations: when MEMORY words are known they
-    become the older one, from which words in use are taken over.
+    part letters and digits from what follows, so ASCII marks at a word's end
+    are a word of their own if the rules begin anew behind the character
+    before them.  Its special marks are told in the text as it is, before case
+    is ignored, and end what stands before them.
+
+    Texts are parted as arrays of bytes and each different word of a batch is
+    looked up once.  Words are remembered in two generations: when MEMORY
+    words are known they become the older one, from which words in use are
+    taken over.
     """
 
-    _ends = frozenset(b".,!?;:|")
-    _plain = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+    _spaces = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+    _marks = np.isin(np.arange(256), list(string.punctuation.encode()))
+    _word_end = "</w>"
+    #: A capital that an accent may follow: the rules join the two before they ignore case, and w has a joint form with a ring, but W has none.
+    _before_more = re.compile(rb"([A-Z](?=[\x80-\xff]))")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -66,36 +74,87 @@ class WordTokens:
         special = {t.content.encode(): i for i, t in self.coder.get_added_tokens_decoder().items()}
         self.special = re.compile(b"|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.stand_in = {k: b" \xff%d " % i for k, i in special.items()}  # no UTF-8 has this byte
-        self.first_bytes = [k[:2] for k in special]
+        self.first_bytes = {k[:2] for k in special}
         self.fixed = {b"\xff%d" % i: np.array([i], "<u4").tobytes() for i in special.values()}
         self.known: dict[bytes, bytes] = dict(self.fixed)
         self.older: dict[bytes, bytes] = {}
+        vocabulary = self.coder.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for t, i in vocabulary.items() if t.endswith(self._word_end)]] = True
+        self.parted = np.full(1 << 16, -1, np.int8)  # by the bytes of a character, two at most: 1 if a mark behind it begins anew, -1 if not known yet
+        self.parted[0] = 0
 
-    def _words(self, text: bytes) -> list[bytes]:
+    def _plain(self, text: bytes) -> bytes:
         if any(b in text for b in self.first_bytes):
             text = self.special.sub(lambda m: self.stand_in[m[0]], text)
-        return text.lower().split()
-
-    def _learn(self, new: set[bytes]) -> None:
+        if b"\xcc" in text or b"\xcd" in text:  # accents of their own, U+0300 to U+037F
+            return b"".join(t if k % 2 else t.lower() for k, t in enumerate(self._before_more.split(text)))
+        return text.lower()
+
+    def _is_parted(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Whether a mark begins anew behind the character that ends in these two bytes; no for those of three bytes and more."""
+        two = (before >= 0xC2) & (before < 0xE0) & (last >= 0x80) & (last < 0xC0)
+        keys = np.where(last < 0x80, last, np.where(two, before.astype(np.int32) << 8 | last, 0))
+        for k in np.unique(keys[self.parted[keys] < 0]).tolist():
+            c = (bytes([k]) if k < 0x80 else k.to_bytes(2)).decode()
+            both, one, mark = (self.coder.encode(x, add_special_tokens=False).ids for x in (c + ".", c, "."))
+            self.parted[k] = both == one + mark  # in one piece they have one end, not two
+        return self.parted[keys] == 1
+
+    def _words(self, data: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """Of bytes that begin and end with white space: where words begin, the different words, and which of them each one is."""
+        spaces, marks = self._spaces[data], self._marks[data]
+        begins = ~spaces
+        begins[1:] &= spaces[:-1]
+        first, last = np.flatnonzero(marks[1:] & ~marks[:-1]) + 1, np.flatnonzero(marks[:-1] & ~marks[1:])
+        first = first[spaces[last + 1] & ~spaces[first - 1]]
+        begins[first[self._is_parted(data[first - 2], data[first - 1])]] = True
+        dense = data[~spaces]
+        ends = np.append(np.flatnonzero(begins[~spaces]), len(dense)).astype(np.int64)
+        column = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(dense)]).dictionary_encode()
+        _, ends, dense = column.dictionary.buffers()
+        ends, dense = np.frombuffer(ends, np.int64, len(column.dictionary) + 1).tolist(), dense.to_pybytes() if dense else b""
+        return np.flatnonzero(begins), [dense[a:b] for a, b in itertools.pairwise(ends)], column.indices.to_numpy()
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Ids of words, which are encoded as one text: each has one end at least, so if there are as many as words, those part them; else by halves."""
+        ids = np.array(self.coder.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        data = ids.tobytes()
+        if len(words) < 2:
+            return [data] * len(words)
+        ends = np.flatnonzero(self.is_end[ids]) + 1
+        if len(ends) != len(words):
+            half = len(words) // 2
+            return self._encode(words[:half]) + self._encode(words[half:])
+        return [data[a:b] for a, b in itertools.pairwise([0, *(4 * ends).tolist()])]
+
+    def _learn(self, new: list[bytes]) -> None:
         known, older = self.known, self.older
-        cut = [w for w in new if len(w) > 1 and w[-1] in self._ends and w[-2] in self._plain]
-        ones = list((new.difference(cut) | {w[:-1] for w in cut} | {w[-1:] for w in cut}).difference(known))
-        unknown = [w for w in ones if w not in older]
-        known.update((w, older[w]) for w in ones if w in older)
-        out = self.coder.encode_batch_fast([w.decode("utf-8", "replace") for w in unknown], add_special_tokens=False)
-        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(unknown, out, strict=True))
-        known.update((w, known[w[:-1]] + known[w[-1:]]) for w in cut)
+        known.update((w, older[w]) for w in new if w in older)
+        texts = {w: w.decode("utf-8", "replace") for w in new if w not in older}
+        letters = {w: t for w, t in texts.items() if t.lower().isalpha()}
+        others = {w: t for w, t in texts.items() if w not in letters}
+        known.update(zip(letters, self._encode(list(letters.values())), strict=True))
+        out = self.coder.encode_batch_fast(list(others.values()), add_special_tokens=False)
+        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(others, out, strict=True))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > MEMORY:
             self.older, self.known = self.known, dict(self.fixed)
-        split = [self._words(t) for t in texts]
-        new = set().union(*split).difference(self.known)
+        texts = [self._plain(t) for t in texts]
+        begins, words, codes = self._words(np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8))
+        new = [w for w in words if w not in self.known]
         if new:
             self._learn(new)
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, words)) for words in split]
+        ids = [self.known[w] for w in words]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        firsts, every = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), "<u4")
+        size = sizes[codes]
+        ends = np.append(0, np.cumsum(size))
+        out = every[np.repeat(firsts[codes] - ends[:-1], size) + np.arange(ends[-1])]
+        at = ends[np.searchsorted(begins, np.cumsum([1, *(len(t) + 1 for t in texts)]))].tolist()
+        return [out[a:b].tobytes() for a, b in itertools.pairwise(at)]
 
 
 @held
@@ -117,7 +176,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: st
         tokens = word_tokens(tokenizer)
         for column in series:
             out = []
-            for ids in (ids for _, texts in batches([column.to_frame("text")], most=1 << 20) for ids in tokens(texts)):
+            for ids in (ids for _, texts in batches([column.to_frame("text")]) for ids in tokens(texts)):
                 ids += end
                 parts = [ids[at : at + 4 * capacity] for at in range(0, len(ids), 4 * capacity)]
                 out.append([{"piece": n, "start": n * capacity, "length": len(p) // 4, "ids_crc32": zlib.crc32(p)} for n, p in enumerate(parts)])

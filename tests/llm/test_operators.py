@@ -209,6 +209,45 @@ def test_ids_are_those_of_the_tokenizer(monkeypatch):
         assert [[int.from_bytes(x[i : i + 4], "little") for i in range(0, len(x), 4)] for x in got] == want
 
 
+def test_accents_are_joined_before_case_is_ignored():
+    """w with a ring is one character, W with a ring isn't."""
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(queries.tokenizer_path())
+    texts = [f"{c}{between}{mark}x {c}{mark}. A{mark}, SO" for c in "HTWYJ" for between in ("", "\u0323", "\u05b0", "\u0327") for mark in "\u0308\u030a\u030c\u0331\u0344"]
+    got = packing.WordTokens(queries.tokenizer_path())([t.encode() for t in texts])
+    assert [[int.from_bytes(x[i : i + 4], "little") for i in range(0, len(x), 4)] for x in got] == [coder.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_new_words_share_encodings():
+    """Words of letters are encoded together, and marks behind them make no further words, also behind letters outside ASCII."""
+    from tokenizers import Tokenizer
+
+    class Counting:
+        def __init__(self, coder):
+            self.coder, self.seen = coder, []
+
+        def encode_batch_fast(self, texts, **options):
+            self.seen += texts
+            return self.coder.encode_batch_fast(texts, **options)
+
+        def __getattr__(self, name):
+            return getattr(self.coder, name)
+
+    r = random.Random(5)
+    stems = ["".join(r.choice("abcdeßéüж") for _ in range(8)) for _ in range(2000)]
+    text = " ".join(s + m for s in stems for m in ("", ".", "***", ".###", "')"))
+    made = packing.WordTokens(queries.tokenizer_path())
+    made.coder = Counting(made.coder)
+    got = made([text.encode()])[0]
+    want = Tokenizer.from_file(queries.tokenizer_path()).encode(text, add_special_tokens=False).ids
+    assert [int.from_bytes(got[i : i + 4], "little") for i in range(0, len(got), 4)] == want
+    assert len(made.coder.seen) < 20
+    # a word of two pieces among them: parted by halves
+    words = [*stems[:100], "ab1", *stems[100:200]]
+    assert made._encode(words) == [made._encode([w])[0] for w in words]
+
+
 def test_plan_fills_well():
     for seed in range(30):
         r = random.Random(seed)
